@@ -6,9 +6,9 @@ links, distrust one from blocked hosts against them (who links to a blocked host
 shares its distrust).  A host is blocked when its distrust is at least ``threshold``
 and greater than its trust.
 
-Seeds: a host with pages that a rule decides is a trusted or blocked seed, in the
-proportion of those pages; every host's seed weight is its balance, so that a host
-with as many allowed as blocked pages is no seed.
+Seeds: a host is a trusted or blocked seed by the balance of its pages that rules
+allow and block, as a share of all its pages.  With the default threshold a host
+without links is blocked when rules block over a third of its pages.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; a null page_id is passed on; a null html has no links.  Repeated rows
@@ -66,24 +66,23 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """``(host, trust, distrust)`` by power iteration from ``seeds (host, trusted, blocked)``.
+    """``(host, trust, distrust)`` by power iteration from ``seeds (host, trusted, blocked)`` with weights in 0..1.
 
-    Both walks run in one table (kind, host, score).  A host without links gives its
-    score back to the seeds of its kind, as in personalised PageRank.  The state is
-    staged every few rounds.
+    Both walks run in one table (kind, host, score): score = (1 - damping) * seed +
+    damping * what links bring.  Scores are in units of a seed host, so a threshold
+    means the same for any number of hosts.  A hub's incoming links are summed before
+    they are shuffled; the state is staged every few rounds.
     """
-    seed = seeds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), "host", F.col(c).cast("double").alias("w")) for k, c in (("t", "trusted"), ("d", "blocked"))))).alias("x")).select("x.*").where("w > 0")
-    seed = stage(seed.join(seed.groupBy("kind").agg(F.sum("w").alias("all")), "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("w")), "seeds")
+    seed = seeds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), "host", F.col(c).cast("double").alias("w")) for k, c in (("t", "trusted"), ("d", "blocked"))))).alias("x")).select("x.*")
+    seed = stage(seed.where("w > 0").select("kind", "host", (F.col("w") * (1 - damping)).alias("score")), "seeds")
     both = links.select(F.lit("t").alias("kind"), "src", "dst", "n").union(links.select(F.lit("d").alias("kind"), F.col("dst"), F.col("src"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = stage(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
-    state, old = seed.withColumnRenamed("w", "score"), None
+    state, old = seed, None
     if edges.limit(1).count():
         for i in range(rounds):
-            moved = state.join(edges, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("x"))
-            lost = F.lit(1.0) - F.coalesce(F.col("moved"), F.lit(0.0))
-            back = seed.join(moved.groupBy("kind").agg(F.sum("x").alias("moved")), "kind", "left").select("kind", "host", (F.col("w") * lost).alias("x"))
-            state = moved.union(back).groupBy("kind", "host").agg(F.sum("x").alias("score"))
+            moved = state.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            state = moved.union(seed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if (i + 1) % every == 0:
                 state = stage(state, "walk")
                 if old is not None:
@@ -95,13 +94,14 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     )
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 1e-3, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.05, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` of each page."""
     url = F.col("url")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = parsed.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("r"))
     n = lambda v: F.sum(F.when(F.col("r.verdict") == v, 1).otherwise(0))
-    seeds = ruled.where("r is not null").groupBy("host").agg((n("allow") - n("block")).alias("d")).select("host", F.greatest("d", F.lit(0)).alias("trusted"), F.greatest(-F.col("d"), F.lit(0)).alias("blocked"))
+    share = ruled.where("host <> ''").groupBy("host").agg(((n("allow") - n("block")) / F.count("*")).alias("d"))
+    seeds = share.select("host", F.greatest("d", F.lit(0.0)).alias("trusted"), F.greatest(-F.col("d"), F.lit(0.0)).alias("blocked"))
     scores = stage(propagate(host_links(pages), seeds, damping, rounds).select("host", "trust", "distrust"), "hosts")
     scores = scores.withColumn("bad", (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))
     judged = ruled.join(scores, "host", "left")
