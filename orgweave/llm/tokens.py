@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
 
 import numpy as np
 
-#: Where a byte-level pre-tokeniser may be cut without changing its pieces: before a single
-#: space and around runs of ASCII white space, in texts without any other white space.
+#: Fixed value: how byte-level BPE of this family splits a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: Where that may be cut without changing its pieces: before a single space and around
+#: runs of ASCII white space, in texts without any other white space.
 CHUNK = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class ChunkIds(dict):
-    """chunk -> ids as little-endian unsigned 32-bit integers, through the tokenizers library on a miss."""
+    """chunk -> ids as little-endian unsigned 32-bit integers.
+
+    A missing chunk goes through the tokenizers library, or, if it is Latin and the file
+    of the same vocabulary as ranks lies beside, through tiktoken, which gives the same
+    ids in less time.
+    """
 
-    LIMIT = 1_000_000
+    LIMIT = 2_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,11 +36,23 @@ class ChunkIds(dict):
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.quick = None
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.quick = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        v = self[chunk] = self.whole(chunk)
+        if self.quick is not None and max(chunk) < "\u0250":
+            v = np.array(self.quick(chunk), dtype="<u4").tobytes()
+        else:
+            v = self.whole(chunk)
+        self[chunk] = v
         return v
 
     def whole(self, text: str) -> bytes:
