@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, logindex, mtree, packing, quality, suffix, urls
+from . import bpe, jaccard, logindex, mtree, packing, quality, suffix, urls
 
 #: Folder of the public tokenizer files; None: that of the installed package.
 TOKENIZER_DIR: str | None = None
@@ -52,9 +52,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op6_url_filters, op7_best_fit_packing, op8_substring_dedup, op9_exact_top_k)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op6_url_filters, op7_best_fit_packing, op8_substring_dedup, op9_exact_top_k, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op8_substring_dedup": logindex.SQL, "op9_exact_top_k": mtree.SQL}
+    return {"op3_quality_rules": quality.sql(), "op8_substring_dedup": logindex.SQL, "op9_exact_top_k": mtree.SQL, "op10_ngram_jaccard_join": jaccard.SQL}
