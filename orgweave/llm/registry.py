@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, logindex, mtree, packing, quality, suffix, urls
+from . import bayes, bpe, jaccard, logindex, mtree, packing, quality, shards, suffix, urls
 
 #: Folder of the public tokenizer files; None: that of the installed package.
 TOKENIZER_DIR: str | None = None
@@ -36,6 +36,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.read_slots(shards.write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -57,7 +65,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op6_url_filters, op7_best_fit_packing, op8_substring_dedup, op9_exact_top_k, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op4_token_shards, op5_quality_classifier, op6_url_filters, op7_best_fit_packing, op8_substring_dedup, op9_exact_top_k, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
