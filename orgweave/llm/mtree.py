@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-LEAF, FANOUT = 128, 16
+LEAF, FANOUT = 512, 16
 #: Sums of products below this are exact in a double.
 EXACT = float(1 << 53)
 
@@ -158,7 +158,7 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, tree_rows: int = 4096, block_rows: int = 512) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, tree_rows: int = 8192, block_rows: int = 512) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest inner products of each query over the quantised vectors."""
     x = lambda c: c.cast("double")
     sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(x(c)) & (F.abs(x(c)) < float("inf")))
