@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mix64, sized, slices, stage, unstage, windows_hash
+from .common import WORD, WordHashes, mix64, slices, stage, windows_hash
 
 GRAM = 16
 U64 = np.uint64
@@ -143,7 +143,10 @@ VERDICTS = "doc_id long, th long, q int, bits long"
 
 
 def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> DataFrame:
-    """``(doc_id, th, q, bits)``: of each hit anchor at word q, which of its windows are covered; th tells rows of one doc_id apart."""
+    """``(doc_id, th, q, bits)``: of each hit anchor at word q, which of its windows are covered; th tells rows of one doc_id apart.
+
+    ``docs`` has doc_id, th and text.
+    """
     per_doc = hits.distinct().groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +206,7 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "th": pa.array(cols[1], pa.int64()), "q": pa.array(cols[2], pa.int32()), "bits": pa.array(cols[3], pa.int64())})
 
-    wanted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    hit_docs = stage(per_doc, "hit-docs")
-    found = wanted.join(sized(hit_docs, 400), "doc_id").select("doc_id", "th", "text", "fps")
+    found = docs.join(per_doc, "doc_id").select("doc_id", "th", "text", "fps")
     return found.mapInArrow(send, CONTEXTS).groupBy("bucket").applyInArrow(match, VERDICTS)
 
 
@@ -233,17 +234,22 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
     found = hits[0]
     for h in hits[1:]:
         found = found.union(h)
-    verdicts = stage(_verify(docs, found, width, n_buckets).groupBy("doc_id", "th").agg(F.collect_list(F.struct("q", "bits")).alias("v")), "verdicts")
     index.drop()
-    unstage(*hits)
+    # both joins of texts are by doc_id over the same rows, so that one exchange of texts serves both
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    known = rows.where("doc_id is not null")
+    verdicts = _verify(known, found, width, n_buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
         for b in slices(batches, "text"):
             out = []
-            for doc, text, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, th, text, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 words = WORD.findall(text or "")
                 n = len(words)
+                v = [x for x in v or () if x["th"] == th]
                 if not v:
                     out.append((doc, n, 0, hashlib.sha256(" ".join(words).encode()).hexdigest()) + ((text,) if with_text else ()))
                     continue
@@ -271,9 +277,9 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    rows = rows.join(sized(verdicts, 1200), ["doc_id", "th"], "left").select("doc_id", "text", "v")
-    return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    judged = known.join(verdicts, "doc_id", "left").select("doc_id", "th", "text", "v")
+    judged = judged.union(rows.where("doc_id is null").select("doc_id", "th", "text", F.lit(None).cast(judged.schema["v"].dataType)))
+    return judged.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 SQL = r"""
