@@ -56,7 +56,7 @@ class WordBuckets(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         core = STRIP.sub("", word.lower())
         h = lambda x: xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS
@@ -223,6 +223,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def filter_classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    named = docs.select("doc_id", "text", F.col(host).alias(host), F.col(path).alias(path), F.struct(*docs.columns).alias("_doc"))
-    return classify(named, labels, host, path, threshold, keep=("_doc",)).where("kept").select("_doc.*")
+    """The documents that pass, with their own columns; texts aren't moved, only the names of the rejected."""
+    named = docs.withColumn("_th", F.xxhash64("text"))
+    judged = classify(named, labels, host, path, threshold, keep=("doc_id", "_th"))
+    gone = stage(judged.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_gone")).distinct(), "rejected")
+    return named.join(sized(gone, 32), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_gone")), "left_anti").drop("_th")

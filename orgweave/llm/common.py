@@ -99,7 +99,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept between documents; emptied when it grows large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
