@@ -1,10 +1,55 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline over ``documents``: classify, apply rules, drop near duplicates, cut repeated passages, pack.
+
+Every stage works on all that its predecessor kept and is written as Parquet in the
+shared folder before the next one reads it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from orgweave.llm import bayes, common, jaccard, logindex, packing, quality, registry
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it is trained on the labels beside them."""
+    return bayes.filter_classified(docs, registry.table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rule cascade."""
+    return quality.filter_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    return jaccard.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that an earlier document has."""
+    return logindex.remove_repeated(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, registry.tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packed_sequences", packed_sequences),
+]
+
+#: SQL can neither train the classifier nor tokenise.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = registry.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.stage(stage(spark, docs, sf_dir), name)
+    return docs

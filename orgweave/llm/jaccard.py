@@ -297,6 +297,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
     return rows.join(named.select("doc_id", "component_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The documents that are their component's smallest doc_id, or have none, with their own columns."""
+    found = jaccard_components(docs, n)
+    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(sized(gone, 24), "doc_id", "left_anti").select(*docs.columns)
+
+
 SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda s: s <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM t WHERE len(ws) > 0)),

@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -206,12 +206,12 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "th": pa.array(cols[1], pa.int64()), "q": pa.array(cols[2], pa.int32()), "bits": pa.array(cols[3], pa.int64())})
 
-    found = docs.join(per_doc, "doc_id").select("doc_id", "th", "text", "fps")
+    found = docs.join(per_doc, "doc_id").select("doc_id", "th", "text", "fps", "_row")
     return found.mapInArrow(send, CONTEXTS).groupBy("bucket").applyInArrow(match, VERDICTS)
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` of each row.
+def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256[, kept][, carried columns])`` of each row.
 
     The documents come to the index in ``n_batches`` ranges of doc_id.  ``kept`` is the text
     without the removed words and the white space after each of them.
@@ -238,7 +238,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
     # both joins of texts are by doc_id over the same rows, so that one exchange of texts serves both
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", F.struct(*carry).alias("_row") if carry else F.lit(0).alias("_row"))
     known = rows.where("doc_id is not null")
     verdicts = _verify(known, found, width, n_buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
 
@@ -275,11 +275,23 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
                     row += (text[: spans[0]] + "".join(text[spans[i] : spans[i + 1]] for i in np.flatnonzero(~gone).tolist()),)
                 out.append(row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
-
-    judged = known.join(verdicts, "doc_id", "left").select("doc_id", "th", "text", "v")
-    judged = judged.union(rows.where("doc_id is null").select("doc_id", "th", "text", F.lit(None).cast(judged.schema["v"].dataType)))
-    return judged.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)), b.column(4)], [*names, "_row"])
+
+    judged = known.join(verdicts, "doc_id", "left").select("doc_id", "th", "text", "v", "_row")
+    judged = judged.union(rows.where("doc_id is null").select("doc_id", "th", "text", F.lit(None).cast(judged.schema["v"].dataType), "_row"))
+    out = judged.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + f", _row {judged.schema['_row'].dataType.simpleString()}")
+    return out.select("*", "_row.*").drop("_row") if carry else out.drop("_row")
+
+
+def remove_repeated(docs: DataFrame, width: int = 50) -> DataFrame:
+    """``docs`` with its own columns and repeated passages cut from ``text``; ``n_chars``, if there, is the new length."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)))
+    done = substring_dedup(named, width, with_text=True, carry=[f"_c{i}" for i in range(len(rest))])
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
+    if "n_chars" in rest:
+        back["n_chars"] = F.coalesce(F.length("kept").cast(docs.schema["n_chars"].dataType), back["n_chars"])
+    return done.select(*(back[c].alias(c) for c in docs.columns))
 
 
 SQL = r"""

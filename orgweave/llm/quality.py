@@ -53,12 +53,15 @@ def n_repeat_words(words: Column, n: Column) -> Column:
     sort equal hashes are neighbours; neighbours are then compared word by word, so a
     chance collision of the high bits is not taken for a repeat.
     """
-    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)) + 1)).cast("int"))
 
     def over(w: Column) -> Column:
+        # bound once, as nothing in a lambda may be computed anew for each element
+        return _let(F.greatest(F.lit(1), F.ceil(F.log2(F.size(w) + 2)).cast("int")), lambda bits: with_bits(w, bits))
+
+    def with_bits(w: Column, bits: Column) -> Column:
         keys = F.sort_array(
             F.transform(
-                F.sequence(F.lit(0), n - 3),
+                F.sequence(F.lit(0), F.size(w) - 3),
                 lambda i: _shl(_shr(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i.cast("long")),
             )
         )
@@ -144,7 +147,8 @@ def quality_rules(docs: DataFrame, rules: dict[str, str] = RULES, sample_rows: i
 def filter_quality(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
     judged = quality_rules(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), rules, keep=("_row",))
-    return judged.where("kept").select("_row.*")
+    # the row number keeps the optimiser from moving the filter below the counts, which it would compute once a rule
+    return judged.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0").select("_row.*")
 
 
 def sql() -> str:
