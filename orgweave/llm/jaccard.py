@@ -281,8 +281,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
     room = F.when((F.col("a_sp") > F.col("a_s0")) & F.col("all_wide"), F.least(rest_q, F.greatest(F.col("a_n") - F.col("a_sp"), F.col("rest_wide")))).otherwise(rest_q)
     # no member can be smaller than 3/4 of the query
     opened = meets.join(span, ["part", "grp"]).where(7 * (F.col("c") + room) >= overlap_needed(F.col("a_n"), F.greatest(F.col("lo"), F.ceil(F.col("a_n") * 3 / 4))))
-    pairs = opened.join(facts.select("part", "grp", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("s0").alias("b_s0"), F.col("sp").alias("b_sp")), ["part", "grp"]).where(sizes & fits)
-    more = links_of(pairs.select("a", "b").distinct())
+    # each opened group meets its queries in one place, in blocks of queries; as its members are
+    # connected, a query is done at its first link
+    opened = stage(opened.select("a", "part", "grp"), "opened")
+    blocks = opened.groupBy("part", "grp").agg(F.ceil(F.count("*") / 1000).alias("k"))
+    asked = opened.join(blocks, ["part", "grp"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")))
+    asked = asked.join(sets.withColumnRenamed("node", "a"), "a").select("part", "grp", "block", "a", "set")
+    inside = facts.select("part", "grp", "node").join(blocks, ["part", "grp"]).select("part", "grp", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"))
+    inside = inside.join(sets, "node").select("part", "grp", "block", "node", "set")
+
+    def first_links(queries: pa.Table, group: pa.Table) -> pa.Table:
+        members = sorted(((len(x) // 8, node, np.frombuffer(x, "<u8")) for node, x in zip(group.column("node").to_pylist(), group.column("set").to_pylist(), strict=True)), key=lambda m: m[:2])
+        found = []
+        for q, x in zip(queries.column("a").to_pylist(), queries.column("set").to_pylist(), strict=True):
+            s = np.frombuffer(x, "<u8")
+            for n_m, node, t in sorted(members, key=lambda m: abs(m[0] - len(s))):
+                if 4 * min(n_m, len(s)) < 3 * max(n_m, len(s)):
+                    break
+                if 7 * len(np.intersect1d(s, t, assume_unique=True)) >= overlap_needed(len(s), n_m):
+                    found.append((q, node))
+                    break
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    keys = ("part", "grp", "block")
+    more = asked.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(first_links, "a long, b long")
     final = stage(components(stage(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "all-links")), "node-components")
 
     # -- back to documents: rows of one doc_id, and of one node, are together
