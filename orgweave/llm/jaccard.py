@@ -286,14 +286,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
     opened = stage(opened.select("a", "part", "grp"), "opened")
     blocks = opened.groupBy("part", "grp").agg(F.ceil(F.count("*") / 1000).alias("k"))
     asked = opened.join(blocks, ["part", "grp"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")))
-    asked = asked.join(sets.withColumnRenamed("node", "a"), "a").select("part", "grp", "block", "a", "set")
+    asked = asked.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("part", "grp", "block", "a", "x")
     inside = facts.select("part", "grp", "node").join(blocks, ["part", "grp"]).select("part", "grp", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"))
-    inside = inside.join(sets, "node").select("part", "grp", "block", "node", "set")
+    inside = inside.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), F.col("node") == F.col("b")).select(F.col("part").alias("part2"), F.col("grp").alias("grp2"), F.col("block").alias("block2"), "b", "y")
 
     def first_links(queries: pa.Table, group: pa.Table) -> pa.Table:
-        members = sorted(((len(x) // 8, node, np.frombuffer(x, "<u8")) for node, x in zip(group.column("node").to_pylist(), group.column("set").to_pylist(), strict=True)), key=lambda m: m[:2])
+        members = sorted(((len(x) // 8, node, np.frombuffer(x, "<u8")) for node, x in zip(group.column("b").to_pylist(), group.column("y").to_pylist(), strict=True)), key=lambda m: m[:2])
         found = []
-        for q, x in zip(queries.column("a").to_pylist(), queries.column("set").to_pylist(), strict=True):
+        for q, x in zip(queries.column("a").to_pylist(), queries.column("x").to_pylist(), strict=True):
             s = np.frombuffer(x, "<u8")
             for n_m, node, t in sorted(members, key=lambda m: abs(m[0] - len(s))):
                 if 4 * min(n_m, len(s)) < 3 * max(n_m, len(s)):
@@ -303,8 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
                     break
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    keys = ("part", "grp", "block")
-    more = asked.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(first_links, "a long, b long")
+    more = asked.groupBy("part", "grp", "block").cogroup(inside.groupBy("part2", "grp2", "block2")).applyInArrow(first_links, "a long, b long")
     final = stage(components(stage(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "all-links")), "node-components")
 
     # -- back to documents: rows of one doc_id, and of one node, are together
