@@ -1,3 +1,16 @@
 """Spark-native people analytics and organisational network analysis."""
 
+from .operators.association import chi_square, correlation
+from .operators.cleaning import build_org_edges, deduplicate, filter_noise, join_metrics
+from .operators.export import graph_tables, indexed_graph, to_igraph, to_networkx
+from .operators.graph import betweenness, connected_components, degree_centrality, eigenvector_centrality, louvain_communities, pagerank, shortest_path
+from .operators.hierarchy import hierarchy_long, hierarchy_stats, hierarchy_valid, hierarchy_wide
+from .operators.models import anova, augment, fit_logistic, fit_ols, logistic, model_compare, ols, vif
+from .operators.mrqap import mrqap
+from .operators.plots import plot_coefficients, plot_ols, plot_residuals, save_figure
+from .operators.slices import label_slices, temporal_slices
+from .sources.tables import tidy_to_duckdb, tidy_to_table, to_duckdb, to_table
+from .workspace import Workspace
+
+model_compare_stats = model_compare
 __version__ = "0.1.0"

@@ -1,6 +1,321 @@
-def queries():
-    return {}
+"""Queries over the driver's tables, one or more for each operator, and their SQL for DuckDB."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import association, checks, cleaning, export, graph, hierarchy, models, slices
+from ..operators.mrqap import mrqap
+from ..sources import tables
+from ..sources.testorg import view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _closure(view_name: str, depth: int) -> str:
+    return (
+        f"+b AS (SELECT employee_id AS e, CASE WHEN CAST(supervisor_id AS VARCHAR) = '' THEN NULL ELSE supervisor_id END AS s FROM {view_name}), "
+        "c AS (SELECT e, s AS a, 1 AS d, concat(e, '->', s) AS p FROM b WHERE s IS NOT NULL "
+        f"UNION ALL SELECT c.e, b.s, c.d + 1, concat(c.p, '->', b.s) FROM c JOIN b ON c.a = b.e WHERE b.s IS NOT NULL AND c.d < {depth}) "
+    )
+
+
+STATS = "SELECT a AS manager_id, count(DISTINCT CASE WHEN d = 1 THEN e END) AS direct_reports, count(DISTINCT e) - count(DISTINCT CASE WHEN d = 1 THEN e END) AS indirect_reports, count(DISTINCT e) AS total_reports, count(DISTINCT e) AS team_size, max(d) AS levels_below FROM c GROUP BY a"
+LONG = "SELECT e AS employee_id, a AS supervisor_id, d AS depth, p AS path FROM c"
+
+
+def _wide(n: int) -> str:
+    return "SELECT e AS employee_id, " + ", ".join(f"CAST(max(CASE WHEN d = {k} THEN a END) AS VARCHAR) AS Level_{k}" for k in range(1, n + 1)) + " FROM c GROUP BY e"
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    """Level columns as text, as frames of other engines show nullable integers differently."""
+    return df.select("employee_id", *(F.col(c).cast("string").alias(c) for c in df.columns[1:]))
+
+
+for _name, _view, _depth in (("hierarchy_stats", "org", 50), ("hierarchy_stats_str", "org_str", 50), ("hierarchy_stats_cycles", "org_bad", 12), ("hierarchy_stats_deep", "org_deep", 50)):
+    query(_closure(_view, _depth) + STATS, _view, name=_name)(lambda s, d, v=_view, k=_depth: hierarchy.hierarchy_stats(view(s, d, v), "employee_id", "supervisor_id", k))
+for _name, _view, _depth in (("hierarchy_long", "org", 50), ("hierarchy_long_str", "org_str", 50), ("hierarchy_long_cycles", "org_bad", 12), ("hierarchy_long_depth3", "org_deep", 3)):
+    query(_closure(_view, _depth) + LONG, _view, name=_name)(lambda s, d, v=_view, k=_depth: hierarchy.hierarchy_long(view(s, d, v), "employee_id", "supervisor_id", k))
+for _name, _view, _depth in (("hierarchy_wide", "org", 15), ("hierarchy_wide_str", "org_str", 6), ("hierarchy_wide_cut", "org_deep", 4)):
+    query(_closure(_view, _depth) + _wide(_depth), _view, name=_name)(lambda s, d, v=_view, k=_depth: _as_text(hierarchy.hierarchy_wide(view(s, d, v), "employee_id", "supervisor_id", k)))
+
+
+@query(
+    "+n AS (SELECT count(*) AS n FROM org_bad), "
+    "x AS (SELECT employee_id AS e, supervisor_id AS s FROM org_bad), "
+    "w AS (SELECT e, s, 1 AS d FROM x WHERE s IS NOT NULL UNION ALL SELECT w.e, x.s, w.d + 1 FROM w JOIN x ON w.s = x.e WHERE x.s IS NOT NULL AND w.d <= (SELECT n FROM n)) "
+    "SELECT 'self_reference' AS issue_type, CAST(e AS VARCHAR) AS employee_id, 'Employee reports to themselves' AS detail FROM x WHERE e = s "
+    "UNION ALL SELECT 'broken_chain', CAST(e AS VARCHAR), concat('Supervisor ID ', s, ' does not appear as any employee') FROM x WHERE s IS NOT NULL AND s NOT IN (SELECT e FROM x) "
+    "UNION ALL SELECT 'multiple_roots', NULL, concat('Found ', count(*), ' employees with no supervisor') FROM x WHERE s IS NULL HAVING count(*) > 1 "
+    "UNION ALL SELECT DISTINCT 'loop', CAST(e AS VARCHAR), concat('Cycle detected \N{EM DASH} walk exceeded ', (SELECT n FROM n), ' levels') FROM w WHERE d > (SELECT n FROM n)",
+    "org_bad",
+)
+def hierarchy_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy_valid(view(spark, sf_dir, "org_bad"), "employee_id", "supervisor_id")
+
+
+@query("SELECT DISTINCT employee_id, supervisor_id FROM org_str WHERE supervisor_id <> ''", "org_str")
+def build_org_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.build_org_edges(view(spark, sf_dir, "org_str"))
+
+
+@query("SELECT DISTINCT employee_id, o_orderkey % 100 AS supervisor_id FROM comp_hist WHERE effective_date <= DATE '1997-06-30'", "comp_hist")
+def build_org_edges_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "comp_hist").withColumn("supervisor_id", F.col("o_orderkey") % 100)
+    return cleaning.build_org_edges(rows, active_as_of="1997-06-30")
+
+
+@query("SELECT o.employee_id, department, salary, n_events FROM org o JOIN (SELECT employee_id AS node_id, count(*) AS n_events FROM attendance GROUP BY 1) ON node_id = o.employee_id", "org", "attendance")
+def join_hris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = view(spark, sf_dir, "attendance").groupBy(F.col("employee_id").alias("node_id")).agg(F.count("*").alias("n_events"))
+    return cleaning.join_metrics(view(spark, sf_dir, "org").select("employee_id", "department", "salary"), metrics)
+
+
+@query("SELECT count(*) AS n_rows, count(*) - count(employee_id) AS nulls, count(employee_id) - count(DISTINCT employee_id) AS repeated FROM org", "org")
+def validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind the checks, after the checks themselves have passed."""
+    org = view(spark, sf_dir, "org")
+    checks.validate_keys(org)
+    i = F.col("employee_id")
+    return org.agg(F.count("*").alias("n_rows"), (F.count("*") - F.count(i)).alias("nulls"), (F.count(i) - F.countDistinct(i)).alias("repeated"))
+
+
+@query("SELECT employee_id, ts, event_type, value FROM (SELECT *, count(*) OVER (PARTITION BY employee_id) AS n FROM attendance WHERE employee_id NOT IN (1, 2, 3) AND employee_id NOT IN (7)) WHERE n >= 15", "attendance")
+def filter_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.filter_noise(view(spark, sf_dir, "attendance"), date_col="ts", test_ids=[1, 2, 3], bots=[7], min_records=15)
+
+
+for _keep, _sql in (
+    ("first", "SELECT employee_id, CAST(effective_date AS VARCHAR) AS effective_date, salary, o_orderkey FROM comp_hist QUALIFY row_number() OVER (PARTITION BY employee_id, effective_date ORDER BY o_orderkey) = 1"),
+    ("last", "SELECT employee_id, CAST(effective_date AS VARCHAR) AS effective_date, salary, o_orderkey FROM comp_hist QUALIFY row_number() OVER (PARTITION BY employee_id, effective_date ORDER BY o_orderkey DESC) = 1"),
+    (False, "SELECT employee_id, CAST(effective_date AS VARCHAR) AS effective_date, salary, o_orderkey FROM comp_hist QUALIFY count(*) OVER (PARTITION BY employee_id, effective_date) = 1"),
+):
+    query(_sql, "comp_hist", name=f"deduplicate_{_keep or 'none'}".lower())(lambda s, d, k=_keep: cleaning.deduplicate(view(s, d, "comp_hist"), date_col="effective_date", keep=k, order_by="o_orderkey").withColumn("effective_date", F.col("effective_date").cast("string")))
+
+for _freq, _unit in (("D", "CAST(ts AS DATE)"), ("W", "CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER)"), ("M", "CAST(date_trunc('month', ts) AS DATE)"), ("Q", "CAST(date_trunc('quarter', ts) AS DATE)"), ("Y", "CAST(date_trunc('year', ts) AS DATE)")):
+    query(f"SELECT CAST(CAST({_unit} AS DATE) AS VARCHAR) AS slice, count(*) AS n FROM attendance GROUP BY 1", "attendance", name=f"temporal_slices_{_freq.lower()}")(lambda s, d, f=_freq: slices.label_slices(view(s, d, "attendance"), "ts", f).groupBy(F.col("slice").cast("string").alias("slice")).agg(F.count("*").alias("n")))
+
+N = "(SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e))"
+SPARSE = "+e AS (SELECT DISTINCT src, dst FROM edges_sparse WHERE src IS NOT NULL AND dst IS NOT NULL) "
+for _mode, _sql in (
+    ("out", f"SELECT node_id, round(sum(k) / ({N} - 1.0), 9) AS degree_centrality FROM (SELECT src AS node_id, 1 AS k FROM e UNION ALL SELECT dst, 0 FROM e) GROUP BY 1"),
+    ("in", f"SELECT node_id, round(sum(k) / ({N} - 1.0), 9) AS degree_centrality FROM (SELECT dst AS node_id, 1 AS k FROM e UNION ALL SELECT src, 0 FROM e) GROUP BY 1"),
+    ("total", f"SELECT node_id, round(count(*) / ({N} - 1.0), 9) AS degree_centrality FROM (SELECT unnest([a, b]) AS node_id FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e)) GROUP BY 1"),
+):
+    query(SPARSE + _sql, "edges_sparse", name=f"degree_centrality_{_mode}")(lambda s, d, m=_mode: graph.degree_centrality(view(s, d, "edges_sparse"), "src", "dst", mode=m).withColumn("degree_centrality", F.round("degree_centrality", 9)))
+
+
+@query(
+    SPARSE + ", u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), "
+    "m AS (SELECT a AS node, min(b) AS c FROM r GROUP BY a) "
+    "SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS BIGINT) AS component_id, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM m GROUP BY c",
+    "edges_sparse",
+)
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.connected_components(view(spark, sf_dir, "edges_sparse"), "src", "dst")
+    return found.select("component_id", "size", F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("members"))
+
+
+@query(
+    SPARSE + ", p AS (SELECT 3 AS v, '3' AS path, 0 AS k UNION ALL SELECT dst, concat(path, '->', dst), k + 1 FROM p JOIN e ON p.v = e.src WHERE k < 12) "
+    "SELECT CAST(3 AS BIGINT) AS source, CAST(24 AS BIGINT) AS target, CAST(min(k) AS BIGINT) AS path_length, arg_min(path, (k, path)) AS path FROM p WHERE v = 24 HAVING count(*) > 0",
+    "edges_sparse",
+)
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_path(view(spark, sf_dir, "edges_sparse"), "src", "dst", 3, 24)
+
+
+@query(
+    _closure("org", 60) + ", s AS (SELECT a AS node_id, pow(0.85, d) AS x FROM c UNION ALL SELECT e, 1.0 FROM b WHERE s IS NOT NULL OR e IN (SELECT s FROM b)) "
+    "SELECT node_id, round(sum(x) / (SELECT sum(x) FROM s), 9) AS pagerank FROM s GROUP BY node_id",
+    "org",
+)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(view(spark, sf_dir, "org_edges"), "src", "dst").withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(
+    _closure("org", 60) + ", n AS (SELECT e FROM b WHERE s IS NOT NULL OR e IN (SELECT s FROM b)), "
+    "u AS (SELECT e, count(*) AS k FROM c GROUP BY e), l AS (SELECT a, count(*) AS k FROM c GROUP BY a) "
+    "SELECT n.e AS node_id, round(coalesce(u.k * l.k, 0) / ((SELECT count(*) FROM n) - 1.0) / ((SELECT count(*) FROM n) - 2.0), 9) AS betweenness FROM n LEFT JOIN u ON u.e = n.e LEFT JOIN l ON l.a = n.e",
+    "org",
+)
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.betweenness(view(spark, sf_dir, "org_edges"), "src", "dst").withColumn("betweenness", F.round("betweenness", 9))
+
+
+@query()
+def betweenness_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.betweenness(view(spark, sf_dir, "edges_sparse"), "src", "dst")
+
+
+@query()
+def pagerank_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(view(spark, sf_dir, "edges_flow"), "src", "dst")
+
+
+@query(
+    "+i AS (SELECT supervisor_id AS v, count(*) AS k FROM org_small WHERE supervisor_id IS NOT NULL GROUP BY 1) "
+    "SELECT employee_id AS node_id, round(coalesce(k, 0) / (SELECT CAST(max(k) AS DOUBLE) FROM i), 9) AS eigenvector FROM org_small LEFT JOIN i ON v = employee_id",
+    "org_small",
+)
+def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree this small doesn't converge, so in-degrees stand in."""
+    return graph.eigenvector_centrality(view(spark, sf_dir, "org_small"), "employee_id", "supervisor_id").withColumn("eigenvector", F.round("eigenvector", 9))
+
+
+@query()
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.louvain_communities(view(spark, sf_dir, "org_edges"), "src", "dst")
+
+
+@query()
+def louvain_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.louvain_communities(view(spark, sf_dir, "edges_flow"), "src", "dst", weight_col="weight")
+
+
+@query("SELECT src, dst, max(weight) AS weight FROM edges_flow GROUP BY ALL", "edges_flow")
+def export_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.graph_tables(view(spark, sf_dir, "edges_flow"), "src", "dst", "weight")[1]
+
+
+@query(SPARSE + "SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS index, v AS name FROM (SELECT src AS v FROM e UNION SELECT dst FROM e)", "edges_sparse")
+def export_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.indexed_graph(view(spark, sf_dir, "edges_sparse"), "src", "dst")[0]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+@query("SELECT 'l_quantity' AS term1, 'l_extendedprice' AS term2, round(corr(l_quantity, l_extendedprice), 8) AS correlation FROM lineitem")
+def correlation_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.correlation(_lines(spark, sf_dir), col1="l_quantity", col2="l_extendedprice").select("term1", "term2", F.round("correlation", 8).alias("correlation"))
+
+
+@query(
+    "+r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem) "
+    "SELECT 'l_quantity' AS term1, 'l_extendedprice' AS term2, round(corr(a, b), 8) AS correlation FROM r",
+    "org",
+)
+def correlation_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.correlation(_lines(spark, sf_dir), ["l_quantity", "l_extendedprice"], method="spearman").select("term1", "term2", F.round("correlation", 8).alias("correlation"))
+
+
+@query(
+    "+x AS (SELECT s_suppkey AS k, s_nationkey AS a, s_acctbal AS b FROM supplier WHERE s_suppkey < 300), "
+    "p AS (SELECT sign(x.a - y.a) AS s, sign(x.b - y.b) AS t FROM x JOIN x y ON x.k < y.k) "
+    "SELECT 's_nationkey' AS term1, 's_acctbal' AS term2, round(sum(s * t) / sqrt(CAST(sum(abs(s)) AS DOUBLE) * sum(abs(t))), 8) AS correlation FROM p",
+    "org",
+)
+def correlation_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 300")
+    return association.correlation(rows, col1="s_nationkey", col2="s_acctbal", method="kendall").select("term1", "term2", F.round("correlation", 8).alias("correlation"))
+
+
+@query(
+    "SELECT 'Intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 3) AS estimate FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem"
+)
+def ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.ols(_lines(spark, sf_dir), "l_extendedprice ~ l_quantity")[0].select("term", F.round("estimate", 3).alias("estimate"))
+
+
+@query("SELECT round(regr_r2(l_extendedprice, l_quantity), 8) AS rsquared, regr_count(l_extendedprice, l_quantity)::BIGINT AS nobs FROM lineitem")
+def ols_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.ols(_lines(spark, sf_dir), "l_extendedprice ~ l_quantity")[1].select(F.round("rsquared", 8).alias("rsquared"), "nobs")
+
+
+for _cov in ("HC1", "HC3", "cluster"):
+    query(name=f"ols_{_cov.lower()}")(lambda s, d, c=_cov: models.ols(view(s, d, "org"), "salary ~ gender + C(department)", cov_type=c, groups="department" if c == "cluster" else None)[0])
+
+
+@query()
+def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With odds ratios."""
+    return models.logistic(view(spark, sf_dir, "outcome"), "toxic ~ n_chars + lang")[0].withColumn("odds_ratio", F.exp("estimate"))
+
+
+@query(
+    "+m AS (SELECT avg(salary) AS m FROM org), g AS (SELECT department, count(*) AS n, avg(salary) AS a FROM org GROUP BY 1), t AS (SELECT sum((salary - m) * (salary - m)) AS tss FROM org, m), b AS (SELECT sum(n * (a - m) * (a - m)) AS ss, count(*) - 1 AS k FROM g, m), n AS (SELECT count(*) AS n FROM org) "
+    "SELECT 'department' AS term, round(ss / 1e6, 5) AS sum_sq, CAST(k AS DOUBLE) AS df, round(ss / k / ((tss - ss) / (n - k - 1)), 6) AS statistic FROM b, t, n UNION ALL SELECT 'Residual', round((tss - ss) / 1e6, 5), CAST(n - k - 1 AS DOUBLE), NULL FROM b, t, n",
+    "org",
+)
+def anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = models.anova(view(spark, sf_dir, "org"), "salary ~ department")
+    return found.select("term", F.round(F.col("sum_sq") / 1e6, 5).alias("sum_sq"), "df", F.round("statistic", 6).alias("statistic"))
+
+
+@query(
+    "+o AS (SELECT department AS x, gender AS y, count(*) AS k FROM org GROUP BY ALL), a AS (SELECT x, sum(k) AS k FROM o GROUP BY 1), b AS (SELECT y, sum(k) AS k FROM o GROUP BY 1), n AS (SELECT CAST(sum(k) AS DOUBLE) AS n FROM o), "
+    "g AS (SELECT a.k * b.k / n AS e, coalesce(o.k, 0) AS k FROM a CROSS JOIN b CROSS JOIN n LEFT JOIN o ON o.x = a.x AND o.y = b.y) "
+    "SELECT round(sum((k - e) * (k - e) / e), 8) AS chi2, CAST((SELECT count(*) - 1 FROM a) * (SELECT count(*) - 1 FROM b) AS BIGINT) AS dof FROM g",
+    "org",
+)
+def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.chi_square_table(view(spark, sf_dir, "org"), "department", "gender").select(F.round("chi2", 8).alias("chi2"), "dof")
+
+
+@query("SELECT unnest(['l_quantity', 'l_discount']) AS term, round(1 / (1 - pow(corr(l_quantity, l_discount), 2)), 8) AS vif FROM lineitem")
+def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = models.vif(_lines(spark, sf_dir), "l_extendedprice ~ l_quantity + l_discount")
+    return spark.createDataFrame([(k, round(float(v), 8)) for k, v in s.items()], "term string, vif double")
+
+
+@query()
+def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    org = view(spark, sf_dir, "org")
+    return models.model_compare({"gender": models.fit_ols(org, "salary ~ gender"), "both": models.fit_ols(org, "salary ~ gender + department")})
+
+
+@query(
+    "+f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) "
+    "SELECT l_returnflag AS grp, round(avg(l_extendedprice - a - b * l_quantity), 4) AS mean_residual, count(*) AS n FROM lineitem, f GROUP BY 1",
+    "org",
+)
+def residual_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean residual by group after a fit, as a pay-equity audit takes it."""
+    rows = _lines(spark, sf_dir)
+    return models.augment(rows, models.fit_ols(rows, "l_extendedprice ~ l_quantity")).groupBy(F.col("l_returnflag").alias("grp")).agg(F.round(F.avg("`.resid`"), 4).alias("mean_residual"), F.count("*").alias("n"))
+
+
+@query()
+def mrqap_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade between nations against being of one region."""
+    pdf = view(spark, sf_dir, "edges_flow").toPandas()
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").toPandas()
+    n = len(nation)
+    y = np.zeros((n, n))
+    y[pdf["src"], pdf["dst"]] = pdf["weight"]
+    region = nation["n_regionkey"].to_numpy()
+    got = mrqap(y, [(region[:, None] == region[None, :]).astype(float)], 200, spark=spark)
+    return spark.createDataFrame(list(zip(["Intercept", "same_region"], map(float, got["coefficients"]), map(float, got["p_values"]), strict=True)), "term string, coefficient double, p_value double")
+
+
+@query("SELECT department, count(*) AS n FROM org WHERE salary >= 0 GROUP BY 1", "org")
+def workspace_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.query(view(spark, sf_dir, "org"), "SELECT department, count(*) AS n FROM {input} WHERE salary >= :least GROUP BY 1", least=0)
