@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ident import column, require_columns
 from ..functions.special import chi2_sf, normal_two_sided, t_two_sided
+from .staging import stage
 
 #: Rows up to which Kendall's tau is counted on the driver.
 KENDALL_ROWS = 2_000_000
@@ -22,7 +23,7 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
 
     Counts by value are dealt by range; only one total a partition is summed in one place.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_k")).repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    counts = stage(df.groupBy(value).agg(F.count("*").alias("_k")).repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranks")
     inside = Window.partitionBy("_p").orderBy(value)
     totals = counts.groupBy("_p").agg(F.sum("_k").alias("_t"))
     before = totals.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ident import column, require_columns
 from .graph import nodes_of
+from .staging import stage
 
 
 def graph_tables(edges: DataFrame, source_col: str, target_col: str, weight_col: str | None = None, node_attrs: DataFrame | None = None, node_id_col: str = "node_id", graph_type: str = "DiGraph") -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def indexed_graph(edges: DataFrame, source_col: str, target_col: str, weight_col
     require_columns(edges, [source_col, target_col] + [weight_col] * (weight_col is not None))
     e = edges.select(column(edges, source_col).alias("s"), column(edges, target_col).alias("t"), *([column(edges, weight_col).alias("weight")] if weight_col else [])).dropna(subset=["s", "t"])
     names = nodes_of(e.select(F.col("s").alias("src"), F.col("t").alias("dst")))
-    dealt = names.repartitionByRange("node").select("node", F.spark_partition_id().alias("p"))
+    dealt = stage(names.repartitionByRange("node").select("node", F.spark_partition_id().alias("p")), "names")
     local = dealt.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("node")))
     sizes = dealt.groupBy("p").agg(F.count("*").alias("k"))
     first = sizes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -124,7 +124,7 @@ def pagerank(edges: DataFrame, source_col: str, target_col: str, *, damping: flo
     for _ in range(max_iter):
         lost = x.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
         got = x.join(weights, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("g"))
-        y = stage(x.withColumnRenamed("x", "old").join(got, "node", "left").select("node", "old", (damping * (F.coalesce("g", F.lit(0.0)) + lost / n) + (1 - damping) / n).alias("x")), "rank")
+        y = stage(x.select("node", F.col("x").alias("old")).join(got, "node", "left").select("node", "old", (damping * (F.coalesce("g", F.lit(0.0)) + lost / n) + (1 - damping) / n).alias("x")), "rank")
         change = y.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
         unstage(x)
         x = y
@@ -171,7 +171,7 @@ def eigenvector_centrality(edges: DataFrame, source_col: str, target_col: str, *
     return x.select(F.col("node").alias(node_id_col), F.col("x").cast("double").alias("eigenvector")).orderBy(F.desc("eigenvector"), f"`{node_id_col}`")
 
 
-def component_labels(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of weakly connected components, named by their smallest node.
 
     Alternating large-star and small-star steps: each is a grouped aggregation over at
@@ -180,7 +180,7 @@ def component_labels(edges: DataFrame, a: str, b: str, max_rounds: int = 60) ->
     """
     e = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna().distinct(), "cc")
     lone, total = e.where("u = v").select("u"), None
-    first, e = e, e.where("u <> v")
+    e = e.where("u <> v")
     for i in range(max_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

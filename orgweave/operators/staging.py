@@ -18,10 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: a table that outlives executors."""
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet and read it back: a table that outlives executors and is computed once for all its readers."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
