@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, sized, slices, stage, unstage
+from .common import CACHES, WORD, sized, slices, stage, unstage
 
 #: Rows on which the regressions are fitted, at most.
 SAMPLE_ROWS = 8000
@@ -47,7 +47,7 @@ TARGETS = ("low", "toxic")
 
 
 #: Word beginnings of these lengths are features beside the whole word, as related forms share them.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (5, 6)
 
 
 class WordBuckets(dict):
@@ -65,6 +65,7 @@ class WordBuckets(dict):
 
 
 _buckets = WordBuckets()
+CACHES.append(_buckets)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from .common import WORD, slices
 class BpeCodec(dict):
     """word -> its ids as little-endian unsigned 32-bit integers; missing words are encoded on demand."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import component_labels as components
+from ..operators.staging import shared_dir, stage, unstage
+
 #: A side of a join is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 48 << 20
 
@@ -22,37 +24,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return base.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage at a table that outlives executors, and lets several later
-    branches read a costly result that is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+__all__ = ["WORD", "WordHashes", "components", "give_back", "mix64", "shared_dir", "sized", "slices", "stage", "unstage", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -64,7 +36,30 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the text in one piece stays near ``max_bytes`` (a longer single row is a piece of its own)."""
+    """Cut batches so that the text in one piece stays near ``max_bytes`` (a longer single row is a piece of its own).
+
+    At the end of a task its memory goes back, as the worker process lives on.
+    """
+    try:
+        yield from _slices(batches, text, max_bytes, max_rows)
+    finally:
+        give_back()
+
+
+#: Caches of this worker process that are cheap to fill again.
+CACHES: list[dict] = []
+
+
+def give_back() -> None:
+    """Empty the cheap caches and return freed memory to the system."""
+    for c in CACHES:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str | None, max_bytes: int, max_rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if text is None:
             for i in range(0, b.num_rows, max_rows):
@@ -82,10 +77,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes
             yield b.slice(i)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> U64(33))
@@ -101,6 +92,9 @@ class WordHashes(dict):
 
     LIMIT = 200_000
 
+    def __init__(self):
+        CACHES.append(self)
+
     def __missing__(self, word: str) -> int:
         import xxhash
 
@@ -133,38 +127,3 @@ def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
                 factor = factor * factor
             width *= 2
     return mix64(out)
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected link table as ``(node, component)``, component = the smallest node.
-
-    Alternating large-star and small-star steps: each is one grouped aggregation over
-    at most twice the links, a hub's neighbours are never gathered in one row (its
-    minimum is an aggregate that is joined back), and the number of rounds grows with
-    the logarithm of the longest path.  Every round is a staged table.  Links with a
-    null end are ignored; an empty table gives an empty result.
-    """
-    e = stage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "cc")
-    total = None
-    for _ in range(max_rounds):
-        # large star: every neighbour above u goes to the least of u's neighbourhood
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its lower neighbours go to the least of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u")
-        nxt = stage(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "cc",
-        )
-        now = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        unstage(e)
-        e = nxt
-        if total == (now["n"], now["s"]):
-            break
-        total = (now["n"], now["s"])
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -26,7 +26,7 @@ class ChunkIds(dict):
     ids in less time.
     """
 
-    LIMIT = 2_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
