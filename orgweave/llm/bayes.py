@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, WORD, sized, slices, stage, unstage
+from .common import CACHES, WORD, sized, slices, small_batches, stage, unstage
 
 #: Rows on which the regressions are fitted, at most.
 SAMPLE_ROWS = 8000
@@ -184,6 +184,7 @@ def _strength(sites: DataFrame, p: str, n: str, prior: float) -> float:
     return min(max(spread / between - 1, 1.0), 1e6) if between > 0 else 1e6
 
 
+@small_batches
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``p_low``, ``p_toxic`` and ``kept`` of each document; ``host`` and ``path`` name the site columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import re
 import sys
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-__all__ = ["WORD", "WordHashes", "components", "give_back", "mix64", "shared_dir", "sized", "slices", "stage", "unstage", "windows_hash"]
+__all__ = ["WORD", "WordHashes", "components", "give_back", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -35,6 +36,26 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(operator):
+    """Run what ``operator(df, ...)`` stages with small Arrow batches: wide rows would else fill them with tens of MB a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        conf = df.sparkSession.conf
+        before = conf.get(key, None)
+        conf.set(key, str(8 << 20))
+        try:
+            return operator(df, *args, **kwargs)
+        finally:
+            if before is None:
+                conf.unset(key)
+            else:
+                conf.set(key, before)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text in one piece stays near ``max_bytes`` (a longer single row is a piece of its own).
 

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, components, mix64, sized, slices, stage, unstage, windows_hash
+from .common import WORD, WordHashes, components, mix64, sized, slices, small_batches, stage, windows_hash
 
 U64 = np.uint64
 #: Share of the hash range whose tokens every node posts, in 64ths.
@@ -115,6 +115,7 @@ def _bound(c: Column, a: str, b: str) -> Column:
     return c + F.when(both_wide, F.least(F.greatest(low(a), low(b)), rest(a), rest(b))).otherwise(F.least(rest(a), rest(b)))
 
 
+@small_batches
 def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row."""
     spark = docs.sparkSession
@@ -129,7 +130,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
         import xxhash
 
         hv = heavy_b.value
-        for b in slices(batches, "text", 16 << 20, 16384):
+        for b in slices(batches, "text", 8 << 20, 16384):
             rows, tok, idx = [], [], []
             nodes: dict[int, int] = {}
             facts = []
