@@ -24,24 +24,27 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import chain
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, WORD, sized, slices, small_batches, stage, unstage
+from .common import CACHES, WORD, fresh, sized, slices, small_batches, stage, unstage
 
 #: Rows on which the regressions are fitted, at most.
 SAMPLE_ROWS = 8000
 #: Words chosen for each target.
 WORDS = 256
 BUCKETS = 1 << 18
-STRIP = re.compile(r"^[^\w]+|[^\w]+$")
+#: Outer punctuation that is no part of a word.
+OUTER = string.punctuation
 SYMBOL = re.compile(r"[#*$%&|<>]|!!")
 TARGETS = ("low", "toxic")
 
@@ -54,13 +57,12 @@ class WordBuckets(dict):
     """word -> buckets of its lower-cased form without outer punctuation and of its beginnings; the first is whether it has a symbol."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        import xxhash
-
         if len(self) > 150_000:
             self.clear()
-        core = STRIP.sub("", word.lower())
-        h = lambda x: xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS
-        v = self[word] = (int(bool(SYMBOL.search(word))), h(core), *(h(f"{core[:k]}|{k}") for k in PREFIXES if len(core) >= k))
+        plain = word.isalnum()
+        core = (word if plain else word.strip(OUTER)).lower()
+        # 1, 2, ...: the same letters as a word and as a beginning are different features
+        v = self[word] = (int(not plain and bool(SYMBOL.search(word))), crc32(core.encode()) % BUCKETS, *(crc32(core[:k].encode(), k) % BUCKETS for k in PREFIXES if len(core) >= k))
         return v
 
 
@@ -226,7 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def filter_classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns; texts aren't moved, only the names of the rejected."""
-    named = docs.withColumn("_th", F.xxhash64("text"))
-    judged = classify(named, labels, host, path, threshold, keep=("doc_id", "_th"))
-    gone = stage(judged.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_gone")).distinct(), "rejected")
-    return named.join(sized(gone, 32), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_gone")), "left_anti").drop("_th")
+    th, doc, gone_th = fresh(docs, "_th", "_doc", "_gone")
+    named = docs.withColumn(th, F.xxhash64("text"))
+    judged = classify(named, labels, host, path, threshold, keep=("doc_id", th))
+    gone = stage(judged.where("not kept").select(F.col("doc_id").alias(doc), F.col(th).alias(gone_th)).distinct(), "rejected")
+    return named.join(sized(gone, 32), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(th) == F.col(gone_th)), "left_anti").drop(th)
