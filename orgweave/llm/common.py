@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import component_labels as components
@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-__all__ = ["WORD", "WordHashes", "components", "give_back", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "windows_hash"]
+__all__ = ["WORD", "WordHashes", "components", "fresh", "give_back", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -36,6 +36,22 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df``, whatever their names, as one struct."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def small_batches(operator):
     """Run what ``operator(df, ...)`` stages with small Arrow batches: wide rows would else fill them with tens of MB a task."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, components, mix64, sized, slices, small_batches, stage, windows_hash
+from .common import WORD, WordHashes, components, fresh, mix64, sized, slices, small_batches, stage, windows_hash
 
 U64 = np.uint64
 #: Share of the hash range whose tokens every node posts, in 64ths.
@@ -322,8 +322,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
 def drop_near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     """The documents that are their component's smallest doc_id, or have none, with their own columns."""
     found = jaccard_components(docs, n)
-    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(sized(gone, 24), "doc_id", "left_anti").select(*docs.columns)
+    (doc,) = fresh(docs, "_doc")
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct(), "duplicates")
+    return docs.join(sized(gone, 24), docs["doc_id"] == gone[doc], "left_anti")
 
 
 SQL = r"""

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 #: Fixed by the contract.
 WS = r"[ \t\n\x0B\f\r]+"
 NOT_WS = r"[^ \t\n\x0B\f\r]+"
@@ -146,7 +148,7 @@ def quality_rules(docs: DataFrame, rules: dict[str, str] = RULES, sample_rows: i
 
 def filter_quality(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    judged = quality_rules(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), rules, keep=("_row",))
+    judged = quality_rules(docs.select("doc_id", "text", whole_row(docs).alias("_row")), rules, keep=("_row",))
     # the row number keeps the optimiser from moving the filter below the counts, which it would compute once a rule
     return judged.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0").select("_row.*")
 
