@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ident import column, require_columns, require_frame
@@ -205,8 +205,6 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
 def connected_components(edges: DataFrame, source_col: str, target_col: str, *, backend: str = "spark") -> DataFrame:
     """``(component_id, size, members)`` of weakly connected components, largest first, ties by smallest member."""
     check_backend(backend)
-    from pyspark.sql import Window
-
     parts = component_labels(edges_of(edges, source_col, target_col), "src", "dst")
     groups = parts.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("members"))
     rank = F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1
@@ -335,11 +333,42 @@ def louvain_labels(n: int, w: dict[tuple[int, int], float], resolution: float =
         label = np.unique(part[label], return_inverse=True)[1]
 
 
+def shrink(pairs: DataFrame, resolution: float = 1.0, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """One level of local moving as joins: ``(node, c)`` of each node, and the pairs ``(src, dst, w)`` of the communities.
+
+    In a round, half of the nodes (by a hash of node and round, so that neighbours
+    don't swap for ever) go to the neighbouring community of most gain.
+    """
+    both = stage(pairs.where("src <> dst").select("src", "dst", "w").union(pairs.where("src <> dst").select("dst", "src", "w")), "both")
+    ends = pairs.select(F.col("src").alias("node"), "w").union(pairs.select("dst", "w"))
+    degree = stage(ends.groupBy("node").agg(F.sum("w").alias("k")), "degree")
+    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+    label = stage(degree.select("node", F.col("node").alias("c")), "label")
+    for r in range(rounds):
+        total = label.join(degree, "node").groupBy("c").agg(F.sum("k").alias("t"))
+        near = both.join(label.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("x"))
+        mine = label.select("node", "c", F.lit(0.0).alias("x"))
+        options = near.union(mine).groupBy("node", "c").agg(F.sum("x").alias("x"))
+        rated = options.join(total, "c").join(degree, "node").join(label.withColumnRenamed("c", "own"), "node")
+        gain = F.col("x") - resolution * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
+        best = rated.groupBy("node", "own").agg(F.max(gain).alias("top"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"), F.max_by("c", F.struct(gain, -F.xxhash64("c"))).alias("to"))
+        goes = (F.col("top") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
+        moved = stage(best.select("node", F.when(goes, F.col("to")).otherwise(F.col("own")).alias("c"), goes.alias("moved")), "label")
+        unstage(label)
+        label, quiet = moved.select("node", "c"), not moved.where("moved").limit(1).count()
+        if quiet and r:
+            break
+    at = lambda end: label.select(F.col("node").alias(end), F.col("c").alias(f"c_{end}"))
+    merged = pairs.join(at("src"), "src").join(at("dst"), "dst").groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("w").alias("w"))
+    return label, stage(merged, "pairs")
+
+
 def louvain_communities(edges: DataFrame, source_col: str, target_col: str, *, weight_col: str | None = None, resolution: float = 1.0, node_id_col: str = "node_id", backend: str = "spark") -> DataFrame:
     """``(node, community_id)``: Louvain communities of the undirected graph, numbered by their smallest node.
 
     Weights of repeated edges are summed, of both directions too; without weights an edge
-    counts once.  The sums are a Spark aggregation; at most ``LOCAL_EDGES`` of them are clustered.
+    counts once.  A graph of more than ``LOCAL_EDGES`` pairs is first shrunk to its
+    communities by ``shrink``, until it is small or doesn't shrink further.
     """
     check_backend(backend)
     require_columns(require_frame(edges), [source_col, target_col] + [weight_col] * (weight_col is not None))
@@ -348,13 +377,27 @@ def louvain_communities(edges: DataFrame, source_col: str, target_col: str, *, w
     e = edges.select(s.alias("s"), t.alias("t"), w.alias("w")).where("s is not null and t is not null")
     total = F.sum("w") if weight_col else F.lit(1.0)
     e = stage(e.groupBy(F.least("s", "t").alias("src"), F.greatest("s", "t").alias("dst")).agg(total.alias("w")), "pairs")
-    if e.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        raise ValueError(f"Louvain communities need at most {LOCAL_EDGES} pairs")
+    kind = e.schema["src"].dataType.simpleString()
+    path, size = None, e.count()
+    while size > LOCAL_EDGES:
+        label, e = shrink(e, resolution)
+        path = label if path is None else stage(path.withColumnRenamed("c", "mid").join(label.select(F.col("node").alias("mid"), "c"), "mid").select("node", "c"), "label")
+        before, size = size, e.count()
+        if size >= before:  # the rest has no gain left: what there is are the communities
+            rank = F.dense_rank().over(Window.orderBy("first")) - 1
+            first = path.groupBy("c").agg(F.min("node").alias("first")).withColumn("community_id", rank.cast("long"))
+            return path.join(first, "c").select(F.col("node").alias(node_id_col), "community_id").orderBy("community_id", f"`{node_id_col}`")
     pdf = e.orderBy("src", "dst").toPandas()
     names, ends = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
     n = len(pdf)
     label = louvain_labels(len(names), {(min(a, b), max(a, b)): float(x) for a, b, x in zip(ends[:n].tolist(), ends[n:].tolist(), pdf["w"], strict=True)}, resolution)
+    items = [(x.item() if hasattr(x, "item") else x, int(c)) for x, c in zip(names, label, strict=True)]
+    if path is not None:
+        part = edges.sparkSession.createDataFrame(items, f"c {kind}, part long")
+        joined = path.join(part, "c")
+        rank = F.dense_rank().over(Window.orderBy("first")) - 1
+        first = joined.groupBy("part").agg(F.min("node").alias("first")).withColumn("community_id", rank.cast("long"))
+        return joined.join(first, "part").select(F.col("node").alias(node_id_col), "community_id").orderBy("community_id", f"`{node_id_col}`")
     number: dict[int, int] = {}
-    rows = [(x.item() if hasattr(x, "item") else x, number.setdefault(int(c), len(number))) for x, c in zip(names, label, strict=True)]
-    kind = e.schema["src"].dataType.simpleString()
+    rows = [(x, number.setdefault(c, len(number))) for x, c in items]
     return edges.sparkSession.createDataFrame(rows, f"`{node_id_col}` {kind}, community_id long").orderBy("community_id", f"`{node_id_col}`")

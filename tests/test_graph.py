@@ -124,6 +124,13 @@ def test_louvain_finds_blocks(spark):
     assert graph.modularity(w, label) > 0.6 > graph.modularity(w, np.zeros(25, int))
 
 
+def test_louvain_in_joins_finds_blocks(spark, monkeypatch):
+    edges = [(a, b, 1.0) for g in (0, 10, 20) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [(4, 10, 0.1), (14, 20, 0.1)]
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 8)
+    got = scores(graph.louvain_communities(spark.createDataFrame(edges, "s long, t long, w double"), "s", "t", weight_col="w"), "community_id")
+    assert got == {x: x // 10 for x in got} and len(got) == 15
+
+
 def test_empty_graphs(spark):
     e = spark.createDataFrame([], "s string, t string")
     for f in (graph.pagerank, graph.betweenness, graph.eigenvector_centrality, graph.degree_centrality, graph.connected_components, graph.louvain_communities):
