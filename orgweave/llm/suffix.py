@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64
+from .common import U64, give_back, mix64
 
 GRAM = 16
 #: Depth of the multikey quicksort, a multiple of 8.
@@ -242,7 +242,7 @@ def _cover(g: _Group, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(np.bincount(start, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 12 << 20, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])`` of each document; ``kept`` holds the remaining bytes."""
     if not GRAM <= width <= GRAM + 62:
         raise ValueError(f"width must be {GRAM} to {GRAM + 62}")
@@ -254,12 +254,14 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 12 << 20,
     bucket_of = lambda key: ((key >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
 
     def send_keys(t: pa.Table) -> pa.Table:
+        give_back()
         pid = t.column("pid")[0].as_py()
         key = np.unique(_Group(t, width).key)
         at = np.searchsorted(bucket_of(key), np.arange(n_buckets + 1))
         return _table(KEYS, [(b, pid, key[at[b] : at[b + 1]].tobytes()) for b in range(n_buckets) if at[b] < at[b + 1]])
 
     def match_keys(t: pa.Table) -> pa.Table:
+        give_back()
         pid = np.array(t.column("pid").to_pylist(), np.int64)
         parts = [np.frombuffer(x, "<u8") for x in t.column("data").to_pylist()]
         key, who = np.concatenate(parts), np.repeat(pid, [len(x) for x in parts])
@@ -276,6 +278,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 12 << 20,
             yield who[o[a]], o[a:b]
 
     def send_contexts(t: pa.Table, reply: pa.Table) -> pa.Table:
+        give_back()
         if not t.num_rows:
             return _table(KEYS, [])
         pid = t.column("pid")[0].as_py()
@@ -293,6 +296,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 12 << 20,
         return _table(KEYS, out)
 
     def match_contexts(t: pa.Table) -> pa.Table:
+        give_back()
         pid, doc, left, count, text = [], [], [], [], []
         for p, data in zip(t.column("pid").to_pylist(), t.column("data").to_pylist(), strict=True):
             n = int(np.frombuffer(data, np.int64, 1)[0])
@@ -344,6 +348,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 12 << 20,
     out_arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
 
     def apply(t: pa.Table, verdicts: pa.Table) -> pa.Table:
+        give_back()
         if not t.num_rows:
             return _table(out_arrow, [])
         g = _Group(t, width)
