@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, shared_dir, slices, stage, unstage
+from .common import U64, give_back, mix64, shared_dir, slices, small_batches, stage, unstage
 from .tokens import chunk_ids
 
 PAGE_ROWS = 512
@@ -50,6 +50,7 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 PAGES = "shard long, page int, first_slot long, n int, stride int, data binary, doc_ids array<long>, starts array<long>, lengths array<int>"
 
 
+@small_batches
 def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key: int = 20260101, length: int = 512, shard_rows: int = 8192, end_id: int = 0) -> DataFrame:
     """Write the shards as a Parquet table of pages at ``path`` (default: the shared folder) and return it."""
     spark = docs.sparkSession
@@ -104,6 +105,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
 
         import zstandard
 
+        give_back()
         z = zstandard.ZstdDecompressor()
         shard = t.column("shard")[0].as_py()
         rows = sorted((r for blob in t.column("blob") for r in pickle.loads(z.decompress(blob.as_py()))), key=lambda r: r[0])
