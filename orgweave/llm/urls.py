@@ -8,7 +8,7 @@ and greater than its trust.
 
 Seeds: a host is a trusted or blocked seed by the balance of its pages that rules
 allow and block, as a share of all its pages.  With the default threshold a host
-without links is blocked when rules block over a third of its pages.
+without links is blocked when rules block over a third of its pages (0.0501 rather than 0.05, so that a third itself is no matter of rounding).
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; a null page_id is passed on; a null html has no links.  Repeated rows
@@ -94,7 +94,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     )
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.05, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0501, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` of each page."""
     url = F.col("url")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -114,3 +114,30 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
+
+
+def sql(rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0501, damping: float = 0.85, rounds: int = 20) -> str:
+    """The same for DuckDB, the rounds written out."""
+
+    def host(u: str) -> str:
+        return f"CASE WHEN {u} IS NULL OR strpos({u}, '://') = 0 THEN '' ELSE translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') END"
+
+    listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    steps = ["s0 AS MATERIALIZED (SELECT kind, host, score FROM seed)"]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"s{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT s.kind, e.dst AS host, s.score * e.share * {damping} AS score FROM s{i - 1} s JOIN e ON s.kind = e.kind AND s.host = e.src UNION ALL SELECT kind, host, score FROM seed) GROUP BY ALL)"
+        )
+    return f"""
+WITH g AS (SELECT row_number() OVER () AS n, page_id, url, html, {host("url")} AS host, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END AS path FROM pages),
+l AS (SELECT * FROM (VALUES {listed}) AS l(v, h, p)),
+r AS (SELECT g.*, v, h || p AS rule FROM g LEFT JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC) = 1),
+d AS (SELECT host, (count(*) FILTER (WHERE v = 'allow') - count(*) FILTER (WHERE v = 'block')) / count(*) AS d FROM r WHERE host <> '' GROUP BY host),
+seed AS MATERIALIZED (SELECT 't' AS kind, host, d * (1 - {damping}) AS score FROM d WHERE d > 0 UNION ALL SELECT 'd', host, -d * (1 - {damping}) FROM d WHERE d < 0),
+k AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {host("u")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS u FROM g)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+b AS (SELECT 't' AS kind, src, dst, n FROM k UNION ALL SELECT 'd', dst, src, n FROM k),
+e AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM b),
+{", ".join(steps)},
+w AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 't'), 0) AS t, coalesce(sum(score) FILTER (WHERE kind = 'd'), 0) AS x FROM s{rounds} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(v, CASE WHEN x >= {threshold} AND x > t THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN w USING (host)
+"""

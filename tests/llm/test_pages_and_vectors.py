@@ -57,6 +57,24 @@ def test_distrust_follows_links_backwards_and_trust_forwards(spark):
     assert out[6]["rule"] is None and out[6]["verdict"] == "block"  # half of its host's pages are blocked
 
 
+def test_verdicts_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(5)
+    hosts = [f"{a}.{b}" for a in ("x", "m.y", "z1", "q") for b in ("example.com", "example.net", "org", "io")]
+    rows = []
+    for i in range(120):
+        html = "".join(f"<a href='https://{r.choice(hosts)}/p'>" for _ in range(r.randint(0, 3)))
+        rows.append((i, f"https://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randint(1, 99)}?a", html))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(tuple(None if x is None or x != x else x for x in t) for t in con.execute(urls.sql()).df()[cols].itertuples(index=False))
+    got = sorted(tuple(x) for x in urls.url_filter(pages(spark, rows)).select(cols).collect())
+    assert got == want and len({t[4] for t in got if t[3] is None}) == 2
+
+
 def test_propagation_against_a_dense_walk(spark):
     r = random.Random(2)
     links = sorted({(f"h{r.randrange(12)}", f"h{r.randrange(12)}") for _ in range(40)})
