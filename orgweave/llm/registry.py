@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.sql(), "op6_url_filters": urls.sql(), "op8_substring_dedup": logindex.SQL, "op9_exact_top_k": mtree.SQL, "op10_ngram_jaccard_join": jaccard.SQL}
+    return {"op2_suffix_dedup": suffix.SQL, "op3_quality_rules": quality.sql(), "op6_url_filters": urls.sql(), "op8_substring_dedup": logindex.SQL, "op9_exact_top_k": mtree.SQL, "op10_ngram_jaccard_join": jaccard.SQL}

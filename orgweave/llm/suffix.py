@@ -407,3 +407,15 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 8 << 20, w
     contexts = dealt.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(send_contexts, keys)
     verdicts = contexts.groupBy("bucket").applyInArrow(match_contexts, reply)
     return dealt.groupBy("pid").cogroup(verdicts.groupBy("pid")).applyInArrow(apply, out_schema)
+
+
+SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT r, doc_id, p, array_slice(b, p, p + 49) AS w FROM (SELECT *, unnest(range(1, octet_length(b) - 48)) AS p FROM t WHERE doc_id IS NOT NULL)),
+c AS (SELECT r, p FROM (SELECT r, p, doc_id > min(doc_id) OVER (PARTITION BY w) AS hit FROM g) WHERE hit),
+s AS (SELECT r, min(p) AS a, max(p) + 49 AS z FROM (SELECT r, p, sum(CASE WHEN p > before + 50 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM c)) GROUP BY r, k),
+k AS (SELECT r, a, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) + 1 AS x, a - 1 AS y FROM s UNION ALL SELECT r, max(z) + 1, max(z) + 1, 2147483647 FROM s GROUP BY r),
+x AS (SELECT t.r, sha256(unhex(string_agg(hex(array_slice(b, x, y)), '' ORDER BY a))) AS h FROM k JOIN t USING (r) GROUP BY t.r),
+n AS (SELECT r, sum(z - a + 1) AS n, count(*) AS m FROM s GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(m, 0) AS n_spans, coalesce(h, sha256(b)) AS kept_sha256 FROM t LEFT JOIN n USING (r) LEFT JOIN x USING (r)
+"""
