@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,7 +240,9 @@ def betweenness(edges: DataFrame, source_col: str, target_col: str, *, node_id_c
     o = np.argsort(src, kind="stable")
     graph = e.sparkSession.sparkContext.broadcast((np.searchsorted(src[o], np.arange(n + 1)), dst[o], n))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         at, to, n = graph.value
         total = np.zeros(n)
         for b in batches:
