@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, slices
+from .common import HOLDERS, WORD, slices
 
 
 class BpeCodec(dict):
@@ -113,6 +113,9 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+HOLDERS["bpe"] = codec.cache_clear
+
+
 def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids])`` of each document.
 
@@ -123,7 +126,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", owner="bpe"):
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             cols = [
                 b.column(0),

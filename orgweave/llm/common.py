@@ -6,7 +6,7 @@ import ctypes
 import functools
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,25 +72,32 @@ def small_batches(operator):
     return run
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes: int = 4 << 20, max_rows: int = 4096, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text in one piece stays near ``max_bytes`` (a longer single row is a piece of its own).
 
-    At the end of a task its memory goes back, as the worker process lives on.
+    The worker process lives on for other tasks and operators, so before and after a
+    task it gives back what only others, or nobody, can use again; see ``give_back``.
     """
+    give_back(owner)
     try:
         yield from _slices(batches, text, max_bytes, max_rows)
     finally:
-        give_back()
+        give_back(owner)
 
 
 #: Caches of this worker process that are cheap to fill again.
 CACHES: list[dict] = []
+#: What takes longer to make: by owner, how to drop it.
+HOLDERS: dict[str, Callable[[], None]] = {}
 
 
-def give_back() -> None:
-    """Empty the cheap caches and return freed memory to the system."""
+def give_back(owner: str | None = None) -> None:
+    """Empty the cheap caches, drop what others than ``owner`` hold, and return freed memory to the system."""
     for c in CACHES:
         c.clear()
+    for name, release in HOLDERS.items():
+        if name != owner:
+            release()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)

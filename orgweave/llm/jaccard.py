@@ -130,7 +130,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
         import xxhash
 
         hv = heavy_b.value
-        for b in slices(batches, "text", 8 << 20, 16384):
+        for b in slices(batches, "text", 4 << 20, 16384):
             rows, tok, idx = [], [], []
             nodes: dict[int, int] = {}
             facts = []

@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         from pyspark import TaskContext
 
         enc, end, items = chunk_ids(tokenizer), np.array([end_id], "<u4").tobytes(), []
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", owner="tokens"):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 items += ((p["length"], [p]) for p in cut(doc_id, enc.encode(text or "") + end, capacity))
         yield from _bins(items, capacity, slack, 0, TaskContext.get().partitionId(), False)

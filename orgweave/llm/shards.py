@@ -63,7 +63,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
         enc, pid, idx = chunk_ids(tokenizer), TaskContext.get().partitionId(), 0
         if enc.lib.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than two bytes")
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", owner="tokens"):
             ids, starts, data = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(enc.encode(text or ""), "<u4").astype(kind).tobytes() + np.array([end_id], kind).tobytes()

@@ -9,6 +9,8 @@ import re
 
 import numpy as np
 
+from .common import HOLDERS
+
 #: Fixed value: how byte-level BPE of this family splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,3 +69,6 @@ class ChunkIds(dict):
 @functools.cache
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
+
+
+HOLDERS["tokens"] = chunk_ids.cache_clear
