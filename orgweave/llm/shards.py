@@ -60,7 +60,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, pid, idx = chunk_ids(tokenizer), TaskContext.get().partitionId(), 0
+        enc, pid, idx = chunk_ids(tokenizer, 2_000_000), TaskContext.get().partitionId(), 0
         if enc.lib.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than two bytes")
         for b in slices(batches, "text", owner="tokens"):

@@ -28,9 +28,8 @@ class ChunkIds(dict):
     ids in less time.
     """
 
-    LIMIT = 500_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 500_000):
+        self.limit = limit
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +47,7 @@ class ChunkIds(dict):
             self.quick = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         if self.quick is not None and max(chunk) < "\u0250":
             v = np.array(self.quick(chunk), dtype="<u4").tobytes()
@@ -67,8 +66,8 @@ class ChunkIds(dict):
 
 
 @functools.cache
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def chunk_ids(path: str, limit: int = 500_000) -> ChunkIds:
+    return ChunkIds(path, limit)
 
 
 HOLDERS["tokens"] = chunk_ids.cache_clear
