@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
             s = np.frombuffer(x, "<u8")
             for n_m, node, t in sorted(members, key=lambda m: abs(m[0] - len(s))):
                 if 4 * min(n_m, len(s)) < 3 * max(n_m, len(s)):
-                    break
+                    continue  # a larger member may still qualify: the ratio allows it a larger difference
                 if 7 * len(np.intersect1d(s, t, assume_unique=True)) >= overlap_needed(len(s), n_m):
                     found.append((q, node))
                     break

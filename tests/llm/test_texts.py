@@ -146,6 +146,17 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
     same(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), brute_components(rows))
 
 
+def test_jaccard_of_a_group_of_mixed_sizes(spark):
+    """The first has a link only to the largest, which differs more in size than the smallest, which is too small."""
+    rows = []
+    for i in range(24):
+        w = prose(134, 200 + i, "abcdefghijklmnop").split(" ")
+        rows += [(4 * i + k, " ".join(w[at:end])) for k, (at, end) in enumerate([(0, 104), (56, 134), (32, 134), (0, 134)])]
+    want = brute_components(rows)
+    assert {n for _, n, _ in want} == {74, 98, 100, 130} and {c for _, _, c in want} == set(range(0, 96, 4))
+    same(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), want)
+
+
 def test_quality_rules_against_sql(odd, none):
     pdf = pd.DataFrame(corpus(), columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     con = duckdb.connect()
