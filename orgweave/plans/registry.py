@@ -189,6 +189,18 @@ def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.eigenvector_centrality(view(spark, sf_dir, "org_small"), "employee_id", "supervisor_id").withColumn("eigenvector", F.round("eigenvector", 9))
 
 
+@query()
+def eigenvector_centrality_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every customer."""
+    return graph.eigenvector_centrality(view(spark, sf_dir, "org_edges"), "src", "dst")
+
+
+@query()
+def eigenvector_centrality_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all trade between nations, a graph on which the iteration converges."""
+    return graph.eigenvector_centrality(view(spark, sf_dir, "edges_flow"), "src", "dst")
+
+
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.louvain_communities(view(spark, sf_dir, "org_edges"), "src", "dst")
