@@ -115,9 +115,14 @@ def _bound(c: Column, a: str, b: str) -> Column:
     return c + F.when(both_wide, F.least(F.greatest(low(a), low(b)), rest(a), rest(b))).otherwise(F.least(rest(a), rest(b)))
 
 
-@small_batches
 def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row."""
+    return _located(docs, n, bucket_bytes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+@small_batches
+def _located(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """``(doc_id, th, n, node, component_id)`` of each row; th is the hash of its text, node its set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -316,15 +321,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 16 << 20
     if several and named.where("component_id <> c1").limit(1).count():  # one doc_id with different texts joins their components
         merged = components(named.select(F.col("component_id").alias("a"), F.col("c1").alias("b")).union(hub.join(low, "hub").join(named.select("doc_id", F.col("component_id").alias("c")), "doc_id").select("component_id", "c")))
         named = named.join(merged.select(F.col("node").alias("component_id"), "component"), "component_id", "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
-    return rows.join(named.select("doc_id", "component_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named.select("doc_id", "component_id"), "doc_id", "left").select("doc_id", "th", "n", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
-    """The documents that are their component's smallest doc_id, or have none, with their own columns."""
-    found = jaccard_components(docs, n)
-    (doc,) = fresh(docs, "_doc")
+    """The documents that are their component's smallest doc_id, or have none, with their own columns.
+
+    Of rows with equal sets under one doc_id, or under none, one stays; a row without
+    doc_id goes if a doc_id has its set.  Rows without words all stay.
+    """
+    found = stage(_located(docs, n), "located")
+    doc, text, first = fresh(docs, "_doc", "_th", "_first")
     gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct(), "duplicates")
-    return docs.join(sized(gone, 24), docs["doc_id"] == gone[doc], "left_anti")
+    left = docs.join(sized(gone, 24), docs["doc_id"] == gone[doc], "left_anti")
+
+    stays = found.where("node is not null and (doc_id is null or doc_id = component_id)")
+    sets = stays.groupBy("doc_id", "node").agg(F.count("*").alias("k"), F.min("th").alias("keep"))
+    known = found.where("doc_id is null and node is not null").select("node").join(found.where("doc_id is not null").select("node"), "node", "left_semi").distinct()
+    sets = sets.join(known.select("node", F.lit(True).alias("known")), "node", "left").withColumn("known", F.col("doc_id").isNull() & F.coalesce("known", F.lit(False)))
+    sets = stage(sets.where("k > 1 or known").select(F.col("doc_id").alias("d"), F.col("node").alias("s"), "keep", "known"), "repeated")
+    if not sets.limit(1).count():
+        return left
+    again = stays.join(sized(sets, 40), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("s")))
+    again = stage(again.select(F.col("doc_id").alias(doc), F.col("th").alias(text), (~F.col("known") & (F.col("th") == F.col("keep"))).alias(first)).distinct(), "repeats")
+    rows = left.join(sized(again, 32), left["doc_id"].eqNullSafe(again[doc]) & (F.xxhash64(left["text"]) == again[text]), "left")
+    once = rows.where(F.col(first)).dropDuplicates([doc, text])
+    return rows.where(F.col(first).isNull()).union(once).drop(doc, text, first)
 
 
 SQL = r"""

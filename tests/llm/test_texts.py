@@ -157,6 +157,16 @@ def test_jaccard_of_a_group_of_mixed_sizes(spark):
     same(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), want)
 
 
+def test_one_row_of_repeated_ones_stays(spark):
+    a, b, c, d = (prose(90, 300 + i, "abcdefghijklmnop") for i in range(4))
+    rows = [(1, a), (1, a), (1, a.upper()), (2, a + " tail"), (7, a), (None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (4, None), (4, ""), (None, None)]
+    kept = jaccard.drop_near_duplicates(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, `_th` long"))
+    assert kept.columns == ["doc_id", "text", "_th"]
+    got = [(r["doc_id"], r["text"] and r["text"].lower()) for r in kept.collect()]
+    assert sorted(got, key=key) == sorted([(1, a), (None, b), (3, c), (3, d), (4, None), (4, ""), (None, None)], key=key)
+    assert all(tuple(r)[:2] == rows[r["_th"]] for r in kept.collect())
+
+
 def test_quality_rules_against_sql(odd, none):
     pdf = pd.DataFrame(corpus(), columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     con = duckdb.connect()
