@@ -227,9 +227,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def filter_classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The documents that pass, with their own columns; texts aren't moved, only the names of the rejected."""
-    th, doc, gone_th = fresh(docs, "_th", "_doc", "_gone")
+    """The documents that pass, with their own columns; texts aren't moved, only the names of the rejected.
+
+    A row is named by its doc_id, text and site, which are all that its verdict depends on:
+    one document on two sites may stay on one of them.
+    """
+    th, *gone = fresh(docs, "_th", "_doc", "_gone", "_host_", "_path_")
     named = docs.withColumn(th, F.xxhash64("text"))
-    judged = classify(named, labels, host, path, threshold, keep=("doc_id", th))
-    gone = stage(judged.where("not kept").select(F.col("doc_id").alias(doc), F.col(th).alias(gone_th)).distinct(), "rejected")
-    return named.join(sized(gone, 32), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(th) == F.col(gone_th)), "left_anti").drop(th)
+    names = ["doc_id", th, host, path]
+    judged = classify(named, labels, host, path, threshold, keep=list(dict.fromkeys(names)))
+    rejected = stage(judged.where("not kept").select(*(F.col(f"`{n}`").alias(g) for n, g in zip(names, gone, strict=True))).distinct(), "rejected")
+    same = F.lit(True)
+    for n, g in zip(names, gone, strict=True):
+        same &= named[f"`{n}`"].eqNullSafe(rejected[g])
+    return named.join(sized(rejected, 160), same, "left_anti").drop(th)
