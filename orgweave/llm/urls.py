@@ -59,9 +59,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """``(src, dst, n)``: absolute links in html between different hosts, counted."""
-    urls = F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"), F.lit(1))
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(urls).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
+    """``(src, dst, n)``: links in html between different hosts, counted; they are absolute or begin with ``//`` (the page's own scheme)."""
+    urls = F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1))
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(urls).alias("to"))
+    links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit(":"), "to")).otherwise(F.col("to"))).alias("dst"))
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -134,7 +135,7 @@ l AS (SELECT * FROM (VALUES {listed}) AS l(v, h, p)),
 r AS (SELECT g.*, v, h || p AS rule FROM g LEFT JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC) = 1),
 d AS (SELECT host, (count(*) FILTER (WHERE v = 'allow') - count(*) FILTER (WHERE v = 'block')) / count(*) AS d FROM r WHERE host <> '' GROUP BY host),
 seed AS MATERIALIZED (SELECT 't' AS kind, host, d * (1 - {damping}) AS score FROM d WHERE d > 0 UNION ALL SELECT 'd', host, -d * (1 - {damping}) FROM d WHERE d < 0),
-k AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {host("u")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS u FROM g)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+k AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {host("CASE WHEN starts_with(u, '//') THEN ':' || u ELSE u END")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS u FROM g)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 b AS (SELECT 't' AS kind, src, dst, n FROM k UNION ALL SELECT 'd', dst, src, n FROM k),
 e AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM b),
 {", ".join(steps)},
