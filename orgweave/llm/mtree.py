@@ -13,15 +13,18 @@ parent distance alone shows, by the triangle inequality, that they can't qualify
 Pages also keep their least vec_id, so that ties are skipped rightly.
 
 Queries are a stated set (``vec_id`` divisible by ``every``), sent in blocks to every
-tree; each (tree, block) answers with at most ``k`` rows a query, which are merged.
+tree; a tree is shipped and loaded once a block.  Each (tree, block) answers with at most
+``k`` rows a query, which are merged.
 
 Scores are exact integers.  Vectors that are null or hold null or non-finite
-components, and rows with a null vec_id, take no part.  Exactly repeated rows count
-once; different vectors under one vec_id are separate candidates, and separate
-queries that rank alone; rows with the query's vec_id are its own.  Vectors of
-different lengths are compared over the common length.  Scores beyond 64 bits are
-clipped.  Ties go to the smaller vec_id.  An empty table gives an empty result; other
-columns are ignored.
+components, and rows with a null vec_id, take no part.  Rows with the query's vec_id are
+its own; every other row is a candidate, repeated rows too.  Repeated rows are counted
+first, stored once with their number, and given back in the result.  Query rows of one
+vec_id are one query: it gets the k best of all their scores, repeated query rows
+repeating them.  Vectors of different lengths are compared over the common length.
+Scores beyond 64 bits are clipped to them in the result and rank as clipped between
+trees.  Ties go to the smaller vec_id.  An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -62,9 +65,10 @@ def _as_exact(*ms: np.ndarray) -> tuple[np.ndarray, ...]:
 class MTree:
     """``pages[i]``: ("leaf", pivot distances, rows) or ("node", pivots, radii, parent distances, children, least ids)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, times: np.ndarray | None = None):
         o = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[o], vectors[o]
+        self.times = np.ones(len(o), np.int64) if times is None else times[o]
         x = self.vectors.astype(np.float64)
         norms = np.einsum("ij,ij->i", x, x)
         self.top = float(norms.max(initial=0.0))
@@ -101,13 +105,13 @@ class MTree:
         return len(self.pages) - 1
 
     def search(self, query: np.ndarray, own: int, k: int, exact: np.ndarray) -> list[tuple[int, int]]:
-        """The k best ``(score, vec_id)``, without ``own``; ``query`` and ``exact`` hold exact numbers (see ``_as_exact``)."""
+        """The k best ``(score, row)``, without ``own``; ``query`` and ``exact`` hold exact numbers (see ``_as_exact``)."""
         if self.root < 0:
             return []
         q = np.r_[query.astype(np.float64), 0.0]
         base = float(q @ q) + self.top
         slack = 1e-9 * (base + 1.0)
-        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): its first is the worst kept
+        best: list[tuple[int, int, int]] = []  # a heap of (score, -vec_id, row): its first is the worst kept
 
         def distance(rows: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(base - 2.0 * (self.points[rows] @ q), 0.0))
@@ -136,9 +140,9 @@ class MTree:
                 elif len(rows) > 4 * k:
                     cut = np.lexsort((self.ids[rows], -scores))[: k + int((self.ids[rows] == own).sum())] if scores.dtype != object else range(len(rows))
                     rows, scores = rows[cut], scores[cut]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                for s, i, row in zip(scores.tolist(), self.ids[rows].tolist(), rows.tolist(), strict=True):
                     if i != own:
-                        e = (int(s), -i)
+                        e = (int(s), -i, row)
                         if len(best) < k:
                             heapq.heappush(best, e)
                         elif e > best[0]:
@@ -155,53 +159,55 @@ class MTree:
                 for j, dist, t in zip(keep.tolist(), d.tolist(), tops.tolist(), strict=True):
                     if len(best) < k or t >= best[0][0]:
                         heapq.heappush(queue, (-t, int(ids[j]), int(children[j]), dist))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        return [(s, row) for s, _, row in sorted(best, reverse=True)]
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, tree_rows: int = 8192, block_rows: int = 512) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, tree_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest inner products of each query over the quantised vectors."""
     x = lambda c: c.cast("double")
     sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(x(c)) & (F.abs(x(c)) < float("inf")))
     clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: F.floor(scale * x(c))).alias("v"))
-    n_trees = max(1, -(-clean.count() // tree_rows))
+    rows = stage(clean.groupBy("vec_id", "v").agg(F.count("*").alias("times")), "vectors")
+    n_trees = max(1, -(-rows.count() // tree_rows))
     part = F.xxhash64("vec_id", "v")
 
-    def distinct(t: pa.Table) -> tuple[np.ndarray, list[list[int]]]:
-        rows = sorted(set(zip(t.column("vec_id").to_pylist(), map(tuple, t.column("v").to_pylist()), strict=True)))
-        return np.array([i for i, _ in rows], np.int64), [v for _, v in rows]
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = t.sort_by([("vec_id", "ascending")])
+        return t.column("vec_id").to_numpy(), _matrix(t.column("v").to_pylist()), t.column("times").to_numpy()
 
     def plant(t: pa.Table) -> pa.Table:
-        ids, rows = distinct(t)
-        tree = MTree(ids, _matrix(rows))
-        return pa.table({"tree": pa.array([t.column("tree")[0].as_py()], pa.int32()), "pages": pa.array([pickle.dumps(tree)], pa.binary())})
+        ids, m, times = columns(t)
+        return pa.table({"tree": pa.array([t.column("tree")[0].as_py()], pa.int32()), "pages": pa.array([pickle.dumps(MTree(ids, m, times))], pa.binary())})
 
     def gather(t: pa.Table) -> pa.Table:
-        ids, rows = distinct(t)
-        blocks = [pickle.dumps((ids[i : i + block_rows], rows[i : i + block_rows])) for i in range(0, len(ids), block_rows)]
+        ids, m, times = columns(t)
+        blocks = [pickle.dumps((ids[i : i + block_rows], m[i : i + block_rows], times[i : i + block_rows])) for i in range(0, len(ids), block_rows)]
         return pa.table({"block": pa.array(blocks, pa.binary())})
 
-    trees = stage(clean.withColumn("tree", F.pmod(part, F.lit(n_trees)).cast("int")).groupBy("tree").applyInArrow(plant, "tree int, pages binary"), "trees")
-    asked = clean.where(F.pmod("vec_id", F.lit(every)) == 0)
+    trees = stage(rows.withColumn("tree", F.pmod(part, F.lit(n_trees)).cast("int")).groupBy("tree").applyInArrow(plant, "tree int, pages binary"), "trees")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_groups = max(1, -(-n_trees * tree_rows // (every * block_rows)))
     blocks = asked.withColumn("g", F.pmod(part, F.lit(n_groups)).cast("int")).groupBy("g").applyInArrow(gather, "block binary")
     # every block goes to every tree, one row each: a stated query set against all rows, in blocks
     sent = stage(blocks, "blocks").select("block", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = -(1 << 63), (1 << 63) - 1
         for b in batches:
             for i in range(b.num_rows):
                 tree: MTree = pickle.loads(b.column("pages")[i].as_buffer())
-                ids, rows = pickle.loads(b.column("block")[i].as_buffer())
-                m = _matrix([*rows, [0] * tree.vectors.shape[1]])[:-1, : tree.vectors.shape[1]]
+                ids, m, times = pickle.loads(b.column("block")[i].as_buffer())
+                width = tree.vectors.shape[1]
+                m = m[:, :width] if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
                 exact, asked = _as_exact(tree.vectors, m)
-                out = [(q, hash(v), i, s) for q, v, a in zip(ids.tolist(), rows, asked, strict=True) for s, i in tree.search(a, q, k, exact)]
-                low, high = -(1 << 63), (1 << 63) - 1
-                cols = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([min(max(s, low), high) for s in cols[3]], pa.int64())], ["query_id", "v", "vec_id", "score"])
-
-    found = sent.join(trees, "tree").select("pages", "block").mapInArrow(search, "query_id long, v long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                out = [(q, at, min(max(s, low), high), n) for q, n, a in zip(ids.tolist(), times.tolist(), asked, strict=True) for s, at in tree.search(a, q, k, exact)]
+                query, at, score, n = (np.array(c, np.int64) for c in (list(zip(*out, strict=True)) or [()] * 4))
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(tree.ids[at]), pa.array(score), pa.array(np.minimum(n, k) * np.minimum(tree.times[at], k))], ["query_id", "vec_id", "score", "times"])
+
+    found = sent.join(trees, "tree").select("pages", "block").mapInArrow(search, "query_id long, vec_id long, score long, times long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    each = found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))).alias("i"))
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -57,6 +58,15 @@ def test_distrust_follows_links_backwards_and_trust_forwards(spark):
     assert out[6]["rule"] is None and out[6]["verdict"] == "block"  # half of its host's pages are blocked
 
 
+def test_links_decide_and_may_leave_out_the_scheme(spark):
+    link = lambda to: f'<a href="{to}/x">' * 3
+    for near in ("https://bad.com", "//bad.com"):
+        for far, verdict in ((near, "block"), ("/bad.com", "allow"), ("bad.com", "allow")):
+            rows = [(1, "http://bad.com/en/1", ""), (2, "http://a.io/1", link(far)), (3, "http://b.io/1", link(far)), (4, "http://c.io/1", None)]
+            out = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages(spark, rows)).collect()}
+            assert out == {1: "block", 2: verdict, 3: verdict, 4: "allow"}
+
+
 def test_verdicts_against_sql(spark):
     import duckdb
     import pandas as pd
@@ -65,7 +75,7 @@ def test_verdicts_against_sql(spark):
     hosts = [f"{a}.{b}" for a in ("x", "m.y", "z1", "q") for b in ("example.com", "example.net", "org", "io")]
     rows = []
     for i in range(120):
-        html = "".join(f"<a href='https://{r.choice(hosts)}/p'>" for _ in range(r.randint(0, 3)))
+        html = "".join(f"<a href='{r.choice(['https:', 'HTTP:', ''])}//{r.choice(hosts)}/p'>" for _ in range(r.randint(0, 3)))
         rows.append((i, f"https://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randint(1, 99)}?a", html))
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
@@ -99,12 +109,10 @@ def test_propagation_against_a_dense_walk(spark):
 
 def brute(rows, k=5, every=50):
     v = [(i, tuple(int(np.floor(256 * float(x))) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
-    v = sorted(set(v))
     out = []
-    for q, a in v:
-        if q % every == 0:
-            s = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in v if i != q))[:k]
-            out += [(q, n + 1, i, -s0) for n, (s0, i) in enumerate(s)]
+    for q in sorted({i for i, _ in v if i % every == 0}):
+        s = sorted((-sum(x * y for x, y in zip(a, b)), i) for own, a in v if own == q for i, b in v if i != q)[:k]
+        out += [(q, n + 1, i, -s0) for n, (s0, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -120,6 +128,18 @@ def test_top_k_is_exact(spark, tree_rows):
     assert mtree.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_every_row_is_a_candidate(spark, tmp_path):
+    """Repeated rows, different vectors under one vec_id, a repeated query; against brute force and the SQL."""
+    rows = [(i, [float(i % 3), 1.0]) for i in (0, 1, 1, 2, 3, 3, 3, 50, 50, 51)] + [(3, [9.0, 9.0]), (100, [1.0, 2.0]), (100, [2.0, 1.0])] + [(7, [4.0, 4.0])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    path = str(tmp_path / "embeddings")
+    df.write.parquet(path)
+    got = sorted(tuple(x) for x in mtree.exact_top_k(df, tree_rows=3, block_rows=2).collect())
+    want = duckdb.sql(f"WITH embeddings AS (FROM '{path}/*.parquet'), " + mtree.SQL.strip().removeprefix("WITH ")).fetchall()
+    assert got == brute(rows) == sorted(want)
+    assert max(sum(g[0] == q for g in got) for q in (0, 50, 100)) == 5
+
+
 def test_top_k_of_few_and_of_large_numbers(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (7, [3.0e9])], "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in mtree.exact_top_k(df).collect())
