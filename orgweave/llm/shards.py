@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, give_back, mix64, shared_dir, slices, small_batches, stage, unstage
-from .tokens import chunk_ids
+from .tokens import token_ids
 
 PAGE_ROWS = 512
 
@@ -60,10 +60,10 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, pid, idx = chunk_ids(tokenizer, 2_000_000), TaskContext.get().partitionId(), 0
+        enc, pid, idx = token_ids(tokenizer), TaskContext.get().partitionId(), 0
         if enc.lib.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than two bytes")
-        for b in slices(batches, "text", owner="tokens"):
+        for b in slices(batches, "text", 2 << 20, owner="tokens"):
             ids, starts, data = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(enc.encode(text or ""), "<u4").astype(kind).tobytes() + np.array([end_id], kind).tobytes()

@@ -14,22 +14,21 @@ from .common import HOLDERS
 #: Fixed value: how byte-level BPE of this family splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Where that may be cut without changing its pieces: before a single space and around
-#: runs of ASCII white space, in texts without any other white space.
-CHUNK = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: What keeps a text from the quick way: white space beside the ASCII one, and anything but Latin letters of two bytes.
+OTHER = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
+#: Longer runs go the plain way, too: tiktoken's pattern search fails on some.
+LONG_RUN = re.compile(r"[^\x20\x09-\x0D]{2000}|[\x20\x09-\x0D]{2000}")
 
 
-class ChunkIds(dict):
-    """chunk -> ids as little-endian unsigned 32-bit integers.
+class TokenIds:
+    """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    A missing chunk goes through the tokenizers library, or, if it is Latin and the file
-    of the same vocabulary as ranks lies beside, through tiktoken, which gives the same
-    ids in less time.
+    Texts go through the tokenizers library, or, if they are Latin and the file of the same
+    vocabulary as ranks lies beside, through tiktoken, which gives the same ids in less time.
+    Nothing is kept between texts.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        self.limit = limit
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,28 +45,21 @@ class ChunkIds(dict):
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.quick = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        if self.quick is not None and max(chunk) < "\u0250":
-            v = np.array(self.quick(chunk), dtype="<u4").tobytes()
-        else:
-            v = self.whole(chunk)
-        self[chunk] = v
-        return v
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+        ids = self.quick(text) if self._plain(text) else self.lib.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bool:
+        if self.quick is None or OTHER.search(text) or any(s in text for s in self.special):
+            return False
+        sizes = [*map(len, text.split())]
+        # only with a long word, or much more white space than words, can there be a long run
+        return (max(sizes, default=0) < 2000 and len(text) - sum(sizes) - len(sizes) < 1998) or not LONG_RUN.search(text)
 
 
 @functools.cache
-def chunk_ids(path: str, limit: int = 500_000) -> ChunkIds:
-    return ChunkIds(path, limit)
+def token_ids(path: str) -> TokenIds:
+    return TokenIds(path)
 
 
-HOLDERS["tokens"] = chunk_ids.cache_clear
+HOLDERS["tokens"] = token_ids.cache_clear
