@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mix64, slices, stage, windows_hash
+from .common import WORD, give_back, mix64, slices, stage, windows_hash
+from .flat import word_hashes
 
 GRAM = 16
 U64 = np.uint64
-_hashes = WordHashes()
 
 
 def word_anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +124,12 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """``(fp, doc_id)``: distinct anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids, fps = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = WORD.findall(text or "")
-                if len(words) >= width:
-                    fp = np.unique(word_anchors(_hashes.of(words), width)[0])
+            h, at = word_hashes(b.column(1))
+            for doc, i, j in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                if j - i >= width:
+                    fp = np.unique(word_anchors(h[i:j], width)[0])
                     fps.append(fp)
                     ids.append(np.full(len(fp), doc, np.int64))
             if ids:
@@ -152,13 +152,14 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             found = defaultdict(list)
-            for doc, th, text, fps in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            h, at = word_hashes(b.column(2))
+            for n, (doc, th, text, fps) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
                 words = WORD.findall(text or "")
                 if len(words) < width:
                     continue
-                fp, q, first, last = word_anchors(_hashes.of(words), width)
+                fp, q, first, last = word_anchors(h[at[n] : at[n + 1]], width)
                 for i in np.flatnonzero(np.isin(fp.view(np.int64), np.array(fps, np.int64))).tolist():
                     found[int(fp[i]), int(q[i] - first[i]), " ".join(words[first[i] : last[i] + width])].append((doc, th, int(q[i])))
             # of equal contexts only the least doc_id's are open questions; the others are covered by it
@@ -175,6 +176,7 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
     def match(t: pa.Table) -> pa.Table:
         import pickle
 
+        give_back()
         by_fp: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
         out = []
         for data in t.column("data"):
@@ -244,16 +246,17 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             out = []
-            for doc, th, text, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            h, bounds = word_hashes(b.column(2))
+            for row_at, (doc, th, text, v) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)):
                 words = WORD.findall(text or "")
                 n = len(words)
                 v = [x for x in v or () if x["th"] == th]
                 if not v:
                     out.append((doc, n, 0, hashlib.sha256(" ".join(words).encode()).hexdigest()) + ((text,) if with_text else ()))
                     continue
-                fp, q, first, last = word_anchors(_hashes.of(words), width)
+                fp, q, first, last = word_anchors(h[bounds[row_at] : bounds[row_at + 1]], width)
                 at = {int(x): (int(a), int(z)) for x, a, z in zip(q, first, last, strict=True)}
                 edge = np.zeros(n + 1, np.int64)
                 for x in v:
