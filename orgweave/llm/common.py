@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from ..operators.graph import component_labels as components
 from ..operators.staging import shared_dir, stage, unstage
 
-#: A side of a join is broadcast only when its counted rows times its row width stay below this.
-BROADCAST_BYTES = 48 << 20
+#: A side of a join is broadcast only when its counted rows times its row width, as a hashed relation holds it, stay below this.
+BROADCAST_BYTES = 24 << 20
+#: What a hashed relation adds to a row.
+ROW_OVERHEAD = 48
 
 #: ``[^\x20\x09-\x0D]+``: a word of the contracts.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-__all__ = ["WORD", "WordHashes", "components", "fresh", "give_back", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
+__all__ = ["WORD", "components", "fresh", "give_back", "join_counted", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -33,7 +35,20 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
     ``df`` should be a staged table: counting it must be cheap.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key with the key's count of rows in ``k``; no task gets all rows of a hot key.
+
+    ``table`` is a staged table.  Hot keys are those with more than ``hot`` rows and a
+    ten-thousandth of all; they are at most 10,000, are broadcast, and their rows stay where they are.
+    """
+    bound = max(hot, total // 10_000)
+    if table.count() <= 10_000:
+        return rows.join(F.broadcast(table.drop("k")), keys)
+    many, few = table.where(F.col("k") > bound).drop("k"), table.where(F.col("k") <= bound).drop("k")
+    return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -131,26 +146,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept between documents; emptied when it grows large."""
-
-    LIMIT = 200_000
-
-    def __init__(self):
-        CACHES.append(self)
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return v
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive entries of ``h``; depends on nothing else."""
     n = len(h) - k + 1
