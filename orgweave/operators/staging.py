@@ -13,9 +13,14 @@ LOCAL_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset a local folder, but only if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return base.rstrip("/")
 
 
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -11,14 +11,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: ``//`` is integer division, ``{str}`` the string type; see ``text``.
 VIEWS = {
     "org": "SELECT c_custkey AS employee_id, CASE WHEN c_custkey > 0 THEN (c_custkey - 1) // 8 END AS supervisor_id, c_mktsegment AS department, c_acctbal AS salary, c_custkey % 2 AS gender FROM customer",
-    "org_small": "SELECT employee_id, supervisor_id FROM org WHERE employee_id < 250",
     "org_str": "SELECT concat('E', lpad(CAST(employee_id AS {str}), 6, '0')) AS employee_id, CASE WHEN supervisor_id IS NULL THEN '' ELSE concat('E', lpad(CAST(supervisor_id AS {str}), 6, '0')) END AS supervisor_id FROM org",
     "org_bad": "SELECT c_custkey AS employee_id, CASE WHEN c_custkey = 0 THEN NULL WHEN c_custkey % 97 = 5 THEN 900000 + c_custkey WHEN c_custkey % 101 = 7 THEN c_custkey WHEN c_custkey = 20 THEN 21 WHEN c_custkey = 21 THEN 22 WHEN c_custkey = 22 THEN 20 WHEN c_custkey % 211 = 9 THEN NULL ELSE (c_custkey - 1) // 8 END AS supervisor_id FROM customer",
-    "org_deep": "SELECT s_suppkey AS employee_id, CASE WHEN s_suppkey > (SELECT min(s_suppkey) FROM supplier) THEN s_suppkey - 1 END AS supervisor_id FROM supplier WHERE s_suppkey < (SELECT min(s_suppkey) FROM supplier) + 100",
+    "org_deep": "SELECT s_suppkey AS employee_id, CASE WHEN (s_suppkey - (SELECT min(s_suppkey) FROM supplier)) % 100 > 0 THEN s_suppkey - 1 END AS supervisor_id FROM supplier",
     "attendance": "SELECT user_id AS employee_id, ts, event_type, value FROM events",
     "comp_hist": "SELECT o_custkey AS employee_id, CAST(o_orderdate AS DATE) AS effective_date, o_totalprice AS salary, o_orderkey FROM orders",
     "edges_flow": "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
-    "edges_sparse": "SELECT s_suppkey AS src, (7 * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS dst FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, (3 * s_suppkey + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_suppkey % 5 = 1",
+    "edges_sparse": "SELECT s_suppkey AS src, (7 * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS dst FROM supplier UNION ALL SELECT s_suppkey, (49 * s_suppkey + 24) % (SELECT count(*) FROM supplier) FROM supplier",
     "org_edges": "SELECT employee_id AS src, supervisor_id AS dst FROM org WHERE supervisor_id IS NOT NULL",
     "outcome": "SELECT d.doc_id, d.n_chars, d.lang, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
 }

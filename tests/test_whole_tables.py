@@ -20,11 +20,11 @@ def test_kendall_is_over_every_supplier(spark, tmp_path):
     spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
     pairs = [(sign(x[1] - y[1]), sign(x[2] - y[2])) for i, x in enumerate(rows) for y in rows[:i]]
     want = sum(a * b for a, b in pairs) / (sum(a * a for a, _ in pairs) * sum(b * b for _, b in pairs)) ** 0.5
-    assert registry.queries()["correlation_kendall_all"](spark, str(tmp_path)).first()["correlation"] == pytest.approx(want, abs=1e-8)
+    assert registry.queries()["correlation_kendall"](spark, str(tmp_path)).first()["correlation"] == pytest.approx(want, abs=1e-8)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     con.execute("CREATE TABLE customer (c_custkey BIGINT, c_mktsegment VARCHAR, c_acctbal DOUBLE)")
-    assert con.execute(registry.oracle_sql()["correlation_kendall_all"]).fetchone()[2] == pytest.approx(want, abs=1e-8)
+    assert con.execute(registry.oracle_sql()["correlation_kendall"]).fetchone()[2] == pytest.approx(want, abs=1e-8)
 
 
 def largest_vector(edges, n):
@@ -58,7 +58,7 @@ def test_eigenvector_is_over_every_customer_and_all_trade(spark, tmp_path):
     put("orders", orders := [(i, r.choice(customers)[0]) for i in range(120)], "o_orderkey long, o_custkey long")
     put("lineitem", lines := [(i, r.choice((1, 2, 4, 8, 11, 28)) if i % 2 else 2 + i % 5) for i, _ in orders], "l_orderkey long, l_suppkey long")
     found = registry.queries()
-    assert set(scores(found["eigenvector_centrality_org"](spark, str(tmp_path)))) == set(range(401))
+    assert set(scores(found["eigenvector_centrality"](spark, str(tmp_path)))) == set(range(401))
     edges = [(dict(orders)[o] % 7, s % 7) for o, s in lines]
     got, want = scores(found["eigenvector_centrality_flow"](spark, str(tmp_path))), largest_vector(edges, 7)
     assert got == pytest.approx(want, abs=1e-3) and min(want.values()) >= 0 and len({round(x, 3) for x in got.values()}) > 1
