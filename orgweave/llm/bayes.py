@@ -186,22 +186,9 @@ def _strength(sites: DataFrame, p: str, n: str, prior: float) -> float:
     return min(max(spread / between - 1, 1.0), 1e6) if between > 0 else 1e6
 
 
-@small_batches
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``p_low``, ``p_toxic`` and ``kept`` of each document; ``host`` and ``path`` name the site columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
-    kinds = [t for t in TARGETS]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for b in slices(batches, "text"):
-            e = np.array([m.score(t) for t in b.column(0).to_pylist()]).reshape(-1, len(kinds))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(e[:, i]) for i in range(len(kinds)))], [*b.schema.names[1:], *(f"e_{t}" for t in kinds)])
-
-    row = F.struct(*(F.col(c) for c in keep)).alias("_row")
-    plain = docs.select("text", F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), row)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:]) + "".join(f", e_{t} double" for t in kinds)
-    scored = stage(plain.mapInArrow(score, schema), "evidence")
+def shrink(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``_row``'s columns, ``p_low``, ``p_toxic`` and ``kept`` from a staged table ``(_host, _path, _row, e_low, e_toxic)`` of evidence."""
+    kinds = list(TARGETS)
     p = {t: 1 / (1 + F.exp(-F.col(f"e_{t}"))) for t in kinds}
     scored = scored.withColumns({f"p_{t}": p[t] for t in kinds})
     whole = scored.agg(*(F.avg(f"p_{t}").alias(t) for t in kinds)).first()
@@ -226,6 +213,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     return final.withColumn("kept", F.greatest(*(F.col(f"p_{t}") for t in kinds)) < threshold)
 
 
+@small_batches
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``p_low``, ``p_toxic`` and ``kept`` of each document; ``host`` and ``path`` name the site columns."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    kinds = [t for t in TARGETS]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in slices(batches, "text"):
+            e = np.array([m.score(t) for t in b.column(0).to_pylist()]).reshape(-1, len(kinds))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(e[:, i]) for i in range(len(kinds)))], [*b.schema.names[1:], *(f"e_{t}" for t in kinds)])
+
+    row = F.struct(*(F.col(c) for c in keep)).alias("_row")
+    plain = docs.select("text", F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), row)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:]) + "".join(f", e_{t} double" for t in kinds)
+    scored = stage(plain.mapInArrow(score, schema), "evidence")
+    return shrink(scored, threshold)
+
+
 def filter_classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns; texts aren't moved, only the names of the rejected.
 

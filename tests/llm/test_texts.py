@@ -281,3 +281,70 @@ def test_classifier_without_labels_keeps_everything(odd, none, spark):
     assert bayes.classify(none, labels).count() == 0
     kept = bayes.filter_classified(odd, labels)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_shrinking_against_brute_force(spark):
+    """Posteriors of sites, each document left out of its own, recomputed by the formulas of the docstring; ties, null sites, sparse and hot sites."""
+    from orgweave.llm import bayes
+
+    r = np.random.default_rng(8)
+    rows = [(h, p, float(e), float(t)) for (h, p), n, m in ((("a", "x"), 60, -3), (("a", "y"), 5, 2), (("b", "x"), 12, 1), (("c", None), 7, 0), (("d", "x"), 1, 4), ((None, "x"), 3, 1), ((None, None), 2, 1)) for e, t in zip(r.normal(m, 1, n), r.normal(-m, 2, n))]
+    rows += rows[:3]
+    df = spark.createDataFrame([(h, p, (i,), e, t) for i, (h, p, e, t) in enumerate(rows)], "_host string, _path string, _row struct<doc_id:long>, e_low double, e_toxic double")
+    got = {x["doc_id"]: x for x in bayes.shrink(df).collect()}
+    sure = lambda x: 1 / (1 + np.exp(-x))
+    worst = np.zeros(len(rows))
+    for at, name in ((2, "p_low"), (3, "p_toxic")):
+        p = sure(np.array([x[at] for x in rows]))
+        prior = p.mean()
+
+        def strength(groups):
+            n, s = np.array([len(g) for g in groups]), np.array([p[g].sum() for g in groups])
+            spread = prior * (1 - prior)
+            between = ((n * (s / n - prior) ** 2).sum() - (len(n) - 1) * spread) / (n.sum() - (n * n).sum() / n.sum())
+            return min(max(spread / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+        members = lambda f: [i for i, x in enumerate(rows) if f(x)]
+        hosts = {h: members(lambda x: x[0] == h) for h in "abcd"}
+        paths = {k: members(lambda x: x[:2] == k) for k in {x[:2] for x in rows if x[0] and x[1]}}
+        host_m, path_m = strength(list(hosts.values())), strength(list(paths.values()))
+        for i, x in enumerate(rows):
+            site = prior
+            if x[0]:
+                g = hosts[x[0]]
+                site = (p[g].sum() - p[i] + host_m * prior) / (len(g) - 1 + host_m)
+                if x[1]:
+                    g = paths[x[:2]]
+                    site = (p[g].sum() - p[i] + path_m * site) / (len(g) - 1 + path_m)
+            want = sure(x[at] + np.log(site / (1 - site)) - np.log(prior / (1 - prior)))
+            assert got[i][name] == pytest.approx(want, abs=1e-9)
+            worst[i] = max(worst[i], want)
+    assert [got[i]["kept"] for i in range(len(rows))] == (worst < 0.5).tolist() and 0 < (worst < 0.5).sum() < len(rows)
+
+
+def test_one_document_on_two_sites_is_judged_on_each(spark):
+    from orgweave.llm import bayes
+
+    good, bad = "plain words of a good page " * 9, "spam $$$ buy now " * 9
+    rows = [(i, good if i % 2 else bad, "en", "good" if i % 2 else "bad") for i in range(120)] + [(500, "plain words buy now of a " * 9, "en", s) for s in ("good", "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 80)], "doc_id long, quality int, toxic int")
+    kept = {(x["doc_id"], x["source"]) for x in bayes.filter_classified(docs, labels).collect()}
+    verdicts = {(x["doc_id"], x["source"]): x["kept"] for x in bayes.classify(docs, labels, keep=("doc_id", "source")).collect()}
+    assert kept == {k for k, v in verdicts.items() if v}
+
+
+@pytest.mark.parametrize("sizes", [[1100, 1500], [900, 1200], [2048, 2047]])
+def test_packing_of_long_documents_passes_little_on(sizes, spark, tokenizers):
+    from orgweave.llm import packing
+
+    docs = spark.range(400).selectExpr("id AS doc_id", f"repeat(' a', cast(if(id % 2 = 0, {sizes[0]}, {sizes[1]}) as int) - 1) AS text").repartition(4)
+    got = packing.pack(docs, tokenizers["byte_bpe_50k.json"]).toPandas()
+    assert got["length"].sum() == 200 * sum(sizes) and len(got) == 400
+    whole = got.groupby("sequence_id")["length"].sum()
+    # no two bins that fit together are left, but for what each task passes on at most
+    loose = sorted(whole[whole <= 1024])
+    assert whole.max() <= 2048 and len(loose) <= 1
+    for _, g in got.groupby("sequence_id"):
+        o = g.sort_values("offset")
+        assert o["offset"].tolist() == [0, *o["length"].cumsum().tolist()[:-1]]
