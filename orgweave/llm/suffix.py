@@ -8,17 +8,18 @@ that can have a partner are gathered, and each partition is sorted deep-shallow.
    has an anchor: the leftmost least of the hashes of its 16-byte grams.  Equal windows
    have equal anchors, so each group sends the distinct anchor grams' 64-bit keys to
    key buckets and hears which of them other groups have too.
-2. For each shared anchor a group sends the bytes that the anchor's windows span (its
-   context), one entry for equal contexts with their least doc_id.  A passage that
-   occurs in a third of all documents is thus an entry a group, not an entry a document.
-3. A bucket sorts the windows (suffixes cut at ``width`` bytes) of contexts that differ
-   but share an anchor: multikey quicksort over 8-byte symbols to ``SHALLOW`` bytes, then
-   blind tries for the groups with longer common prefixes.  Equal neighbours are one
-   class with one least doc_id.
+2. For each shared anchor a group sorts the suffixes that start at the anchor's windows'
+   first byte, cut where its last window ends (its contexts), and sends one entry for
+   equal ones with their least doc_id.  A passage that occurs in a third of all documents
+   is thus an entry a group, not an entry a document.
+3. A bucket sorts the contexts in the same way; equal ones share all their windows.  Of
+   contexts that differ but share an anchor it then sorts the windows (suffixes cut at
+   ``width`` bytes).  Equal neighbours are one class with one least doc_id.
 4. Each group applies the verdicts to its documents.
 
-Hashes only propose; windows are compared byte by byte, except that equal contexts are
-recognised by 128 bits (anchor key and context hash).
+Every sort is deep-shallow: multikey quicksort over 8-byte symbols to ``SHALLOW`` bytes,
+then blind tries for the groups with longer common prefixes.  Hashes only propose
+anchors; every equality is decided by the sort, on bytes.
 
 Nulls: a null text is empty; a row with a null doc_id neither removes nor loses
 anything.  Rows with the same doc_id count as one document: they don't remove each
@@ -29,7 +30,7 @@ result.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,20 +97,8 @@ def gram_keys(words: np.ndarray, q: np.ndarray) -> np.ndarray:
     return mix64(mix64(words[q] + C2) + words[q + 8] * C1)
 
 
-def span_hash(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of the bytes ``at .. at + size``."""
-    h = mix64(size.astype(np.uint64) + C3)
-    for k in range(0, int(size.max(initial=0)), 8):
-        live = np.flatnonzero(size > k)
-        left = np.minimum(size[live] - k, 8).astype(np.uint64) * U64(8)
-        w = words[at[live] + k]
-        w = np.where(left == 64, w, w & ((U64(1) << (left & U64(63))) - U64(1)))
-        h[live] = mix64((h[live] ^ w) * C1)
-    return h
-
-
-def deep_shallow(words: np.ndarray, starts: np.ndarray, segment: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sort suffixes by (segment, first ``depth`` bytes).
+def deep_shallow(words: np.ndarray, starts: np.ndarray, segment: np.ndarray, depth: np.ndarray | int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sort suffixes by (segment, first ``depth`` bytes); suffixes of a segment have one depth.
 
     Returns the order and, for each place in it, whether a new class begins there (the
     suffix differs from the one before in its segment or its first ``depth`` bytes).
@@ -118,43 +107,58 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, segment: np.ndarray, dep
     s = segment[order]
     new = np.ones(len(order), bool)
     new[1:] = s[1:] != s[:-1]
+    deep = np.broadcast_to(depth, order.shape)[order]  # by place: a segment's places stay its own
 
     def alone() -> np.ndarray:
         """Whether a place is a segment of its own."""
         return new & np.r_[new[1:], True]
 
-    def split(act: np.ndarray, key: np.ndarray) -> None:
-        """Sort the segments at the places ``act`` by ``key`` and cut them where it changes."""
-        seg = np.cumsum(new)[act]
-        o = np.lexsort((key, seg))
-        order[act] = order[act][o]
-        key = key[o]
-        new[act[1:]] |= (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
+    def tail(suffix: np.ndarray, d: np.ndarray | int, end: np.ndarray) -> np.ndarray:
+        """The 8 bytes from depth d on, zero beyond ``end``."""
+        left = np.clip(end - d, 0, 8).astype(np.uint64) * U64(8)
+        w = words[starts[suffix] + np.where(left > 0, d, 0)]
+        return np.where(left == 64, w, w & ((U64(1) << (left & U64(63))) - U64(1)))
+
+    _multikey_quicksort(order, new, deep, shallow, alone, tail)
+    _blind_tries(order, new, deep, shallow, alone, tail)
+    return order, new
+
+
+def _multikey_quicksort(order: np.ndarray, new: np.ndarray, deep: np.ndarray, shallow: int, alone: Callable, tail: Callable) -> None:
+    """Three-way partition of every open segment by its middle suffix's symbol, all segments in a round.
 
-    def tail(at: np.ndarray, d: int) -> np.ndarray:
-        w = words[at + d]
-        return w if d + 8 <= depth else w & U64((1 << 8 * (depth - d)) - 1)
-
-    for d in range(0, min(shallow, depth), 8):  # multikey quicksort, eight bytes a symbol
-        act = np.flatnonzero(~alone())
-        if not len(act):
-            return order, new
-        split(act, tail(starts[order[act]], d).byteswap())
-    if depth <= shallow:
-        return order, new
-    done = alone()
-    while not done.all():
-        # blind tries, all open groups at once: the first suffix is the spine, the others
-        # hang on it at their common prefix with it and branch by their next byte
-        act = np.flatnonzero(~done)
-        seg = np.cumsum(new)[act]
-        first = np.r_[True, seg[1:] != seg[:-1]]
-        head = starts[order[act[np.flatnonzero(first)]]][np.cumsum(first) - 1]
-        own = starts[order[act]]
-        lcp, char, at_head = np.full(len(act), depth), np.zeros(len(act), np.int64), np.zeros(len(act), np.int64)
+    The part equal to the pivot goes on with the next symbol, the others with the same.
+    """
+    at = np.zeros(len(order), np.int64)
+    stop = np.minimum(deep, shallow)
+    while len(act := np.flatnonzero(~alone() & (at < stop))):
+        head = np.flatnonzero(new[act])
+        size = np.diff(np.r_[head, len(act)])
+        symbol = tail(order[act], at[act], deep[act]).byteswap()
+        pivot = np.repeat(symbol[head + size // 2], size)
+        side = (symbol > pivot).astype(np.int64) - (symbol < pivot) + 1
+        o = np.argsort(np.repeat(np.arange(len(head)) * 3, size) + side, kind="stable")
+        order[act], side = order[act][o], side[o]
+        new[act[1:]] |= side[1:] != side[:-1]
+        at[act] += 8 * (side == 1)
+
+
+def _blind_tries(order: np.ndarray, new: np.ndarray, deep: np.ndarray, shallow: int, alone: Callable, tail: Callable) -> None:
+    """Order what is equal to ``shallow`` bytes, all groups in a round.
+
+    A group's first suffix is the spine of its trie; the others hang on it at their common
+    prefix with it, branch by the next byte, and are groups of the next round.
+    """
+    done = alone() | (deep <= shallow)
+    big = (int(deep.max(initial=0)) + 1) << 9
+    while len(act := np.flatnonzero(~done)):
+        head = np.flatnonzero(new[act])
+        size = np.diff(np.r_[head, len(act)])
+        own, spine, end = order[act], np.repeat(order[act[head]], size), deep[act]
+        lcp, char, at_spine = end.copy(), np.zeros(len(act), np.int64), np.zeros(len(act), np.int64)
         open_ = np.arange(len(act))
-        for d in range(shallow, depth, 8):
-            a, b = tail(own[open_], d), tail(head[open_], d)
+        for d in range(shallow, int(end.max()), 8):
+            a, b = tail(own[open_], d, end[open_]), tail(spine[open_], d, end[open_])
             x = a ^ b
             hit = np.flatnonzero(x)
             if len(hit):
@@ -164,16 +168,24 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, segment: np.ndarray, dep
                 lcp[k] = d + byte
                 sh = (byte * 8).astype(np.uint64)
                 char[k] = ((a[hit] >> sh) & U64(255)).astype(np.int64)
-                at_head[k] = ((b[hit] >> sh) & U64(255)).astype(np.int64)
+                at_spine[k] = ((b[hit] >> sh) & U64(255)).astype(np.int64)
             open_ = open_[x == 0]
-        big = (depth + 1) << 9
-        key = np.where(lcp == depth, big, np.where(char < at_head, (lcp << 8) + char, big + ((depth + 1 - lcp) << 8) + char))
-        equal = lcp == depth
-        split(act, key)
-        seg2 = np.lexsort((key, seg))
-        done[act] = equal[seg2]
+        equal = lcp == end
+        key = np.where(equal, big, np.where(char < at_spine, (lcp << 8) + char, big + ((end + 1 - lcp) << 8) + char))
+        seg = np.repeat(np.arange(len(head)), size)
+        o = np.lexsort((key, seg))
+        order[act], key = own[o], key[o]
+        new[act[1:]] |= (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
+        done[act] = equal[o]
         done |= alone()
-    return order, new
+
+
+def equal_spans(words: np.ndarray, at: np.ndarray, size: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class number of the bytes ``at .. at + size`` within their segment, and each class's first row."""
+    order, new = deep_shallow(words, at, segment * (int(size.max(initial=0)) + 1) + size, size)
+    cls = np.empty(len(order), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    return cls, np.unique(cls, return_index=True)[1]
 
 
 class _Group:
@@ -204,15 +216,9 @@ class _Group:
         k, d = self.key[o], self.ids[self.doc][o]
         return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
 
-    def classes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors ``rows``: context hash, class number, and for each class its entry with the least doc_id."""
-        h = span_hash(self.words, self.first[rows], self.last[rows] + self.width - self.first[rows])
-        o = np.lexsort((self.ids[self.doc[rows]], h, self.key[rows]))
-        k, x = self.key[rows][o], h[o]
-        new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])] if len(o) else np.zeros(0, bool)
-        cls = np.empty(len(o), np.int64)
-        cls[o] = np.cumsum(new) - 1
-        return h, cls, o[new]
+    def classes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the anchors ``rows``, ascending: class of equal contexts, and each class's entry with the least doc_id (as rows go by doc_id, its first)."""
+        return equal_spans(self.words, self.first[rows], self.last[rows] + self.width - self.first[rows], np.unique(self.key[rows], return_inverse=True)[1])
 
 
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -285,64 +291,57 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 8 << 20, w
         g = _Group(t, width)
         wanted = np.unique(np.concatenate([g.several(), *(np.frombuffer(x, "<u8") for x in reply.column("data").to_pylist())]))
         rows = np.flatnonzero(np.isin(g.key, wanted))
-        _, _, chosen = g.classes(rows)
-        rows = rows[chosen]
+        rows = np.sort(rows[g.classes(rows)[1]])
         out = []
         for b, k in _by_bucket(bucket_of(g.key[rows]), n_buckets):
             r = rows[k]
             size = g.last[r] + width - g.first[r]
-            data = b"".join((np.int64(len(r)).tobytes(), g.ids[g.doc[r]].tobytes(), (g.q[r] - g.first[r]).astype(np.uint8).tobytes(), (g.last[r] - g.first[r] + 1).astype(np.uint8).tobytes(), g.buf[_ragged(g.first[r], size)].tobytes()))
+            data = b"".join((np.int64(len(r)).tobytes(), g.ids[g.doc[r]].tobytes(), r.astype(np.int32).tobytes(), (g.q[r] - g.first[r]).astype(np.uint8).tobytes(), (g.last[r] - g.first[r] + 1).astype(np.uint8).tobytes(), g.buf[_ragged(g.first[r], size)].tobytes()))
             out.append((b, pid, data))
         return _table(KEYS, out)
 
     def match_contexts(t: pa.Table) -> pa.Table:
         give_back()
-        pid, doc, left, count, text = [], [], [], [], []
+        pid, doc, row, left, count, text = [], [], [], [], [], []
         for p, data in zip(t.column("pid").to_pylist(), t.column("data").to_pylist(), strict=True):
             n = int(np.frombuffer(data, np.int64, 1)[0])
             pid.append(np.full(n, p))
             doc.append(np.frombuffer(data, np.int64, n, 8))
-            left.append(np.frombuffer(data, np.uint8, n, 8 + 8 * n))
-            count.append(np.frombuffer(data, np.uint8, n, 8 + 9 * n))
-            text.append(data[8 + 10 * n :])
-        pid, doc, left, count = (np.concatenate(x).astype(np.int64) for x in (pid, doc, left, count))
+            row.append(np.frombuffer(data, np.int32, n, 8 + 8 * n))
+            left.append(np.frombuffer(data, np.uint8, n, 8 + 12 * n))
+            count.append(np.frombuffer(data, np.uint8, n, 8 + 13 * n))
+            text.append(data[8 + 14 * n :])
+        pid, doc, row, left, count = (np.concatenate(x).astype(np.int64) for x in (pid, doc, row, left, count))
         buf = np.frombuffer(b"".join(text) + bytes(16), np.uint8)
         words = words_at(buf)
         size = count - 1 + width
         at = np.cumsum(size) - size
-        key, h = gram_keys(words, at + left), span_hash(words, at, size)
-        o = np.lexsort((doc, h, key))
-        k, x = key[o], h[o]
-        new_key = np.r_[True, k[1:] != k[:-1]]
-        new = new_key | np.r_[True, x[1:] != x[:-1]]
-        cls_at = np.flatnonzero(new)
-        cls = np.cumsum(new) - 1
-        least = doc[o[cls_at]]
-        full = (U64(1) << count.astype(np.uint64)) - U64(1)
-        mask = np.zeros(len(o), np.uint64)
-        later = doc[o] > least[cls]
-        mask[o[later]] = full[o[later]]
+        anchor = np.unique(gram_keys(words, at + left), return_inverse=True)[1]
+        cls, chosen = equal_spans(words, at, size, anchor)
+        least = np.full(len(chosen), np.iinfo(np.int64).max)
+        np.minimum.at(least, cls, doc)
+        mask = np.zeros(len(doc), np.uint64)
+        later = doc > least[cls]
+        mask[later] = ((U64(1) << count.astype(np.uint64)) - U64(1))[later]
         # contexts that differ but share an anchor: sort their windows
-        group = (np.cumsum(new_key) - 1)[cls_at]
+        group = anchor[chosen]
         many = np.bincount(group)[group] > 1
-        rep, grp, low = o[cls_at[many]], group[many], least[many]
+        rep, grp, low = chosen[many], group[many], least[many]
         if len(rep):
             n = count[rep]
             win, own = _ragged(np.zeros(len(rep), np.int64), n), np.repeat(np.arange(len(rep)), n)
-            start = at[rep][own] + win
-            order, fresh = deep_shallow(words, start, grp[own] * 64 + (left[rep][own] - win), width)
+            order, fresh = deep_shallow(words, at[rep][own] + win, grp[own] * 64 + (left[rep][own] - win), width)
             c = np.cumsum(fresh) - 1
             first = np.full(c[-1] + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, c, low[own[order]])
             hit = order[first[c] < low[own[order]]]
             bits = np.zeros(len(rep), np.uint64)
             np.bitwise_or.at(bits, own[hit], U64(1) << win[hit].astype(np.uint64))
-            per_cls = np.zeros(len(cls_at), np.uint64)
+            per_cls = np.zeros(len(chosen), np.uint64)
             per_cls[many] = bits
-            sole = ~later
-            mask[o[sole]] |= per_cls[cls[sole]]
+            mask[~later] |= per_cls[cls[~later]]
         r = np.flatnonzero(mask)
-        return _table(REPLY, [(int(p), np.stack([key[r[k]], h[r[k]], mask[r[k]]]).tobytes()) for p, k in _by_pid(pid[r])])
+        return _table(REPLY, [(int(p), row[r[k]].astype(np.int32).tobytes() + mask[r[k]].tobytes()) for p, k in _by_pid(pid[r])])
 
     out_schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     out_arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
@@ -352,29 +351,24 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 8 << 20, w
         if not t.num_rows:
             return _table(out_arrow, [])
         g = _Group(t, width)
-        found = [np.frombuffer(x, "<u8").reshape(3, -1) for x in verdicts.column("data").to_pylist()]
-        key, h, mask = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)
-        rows = np.flatnonzero(np.isin(g.key, np.concatenate([key, g.several()])))
-        hashes, cls, chosen = g.classes(rows)
+        found = verdicts.column("data").to_pylist()
+        row = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32, len(x) // 12) for x in found)])
+        mask = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8", len(x) // 12, len(x) // 3) for x in found)])
+        rows = np.flatnonzero(np.isin(g.key, np.concatenate([g.key[row], g.several()])))
+        cls, chosen = g.classes(rows)
         ids = g.ids[g.doc[rows]]
-        later = ids > ids[chosen][cls] if len(rows) else np.zeros(0, bool)
+        later = ids > ids[chosen][cls]
         start, end = [g.first[rows[later]]], [g.last[rows[later]] + width]
-        if len(key):
-            o = np.lexsort((h, key))
-            key, h, mask = key[o], h[o], mask[o]
-            have = np.empty(len(key), "u8,u8")
-            have["f0"], have["f1"] = key, h
-            want = np.empty(len(chosen), "u8,u8")
-            want["f0"], want["f1"] = g.key[rows[chosen]], hashes[chosen]
-            at = _find_pairs(have, want)
-            bits = np.where(at >= 0, mask[np.maximum(at, 0)], U64(0))[cls]
-            part = np.flatnonzero(~later & (bits != 0))
-            n = (g.last - g.first + 1)[rows[part]]
-            win, own = _ragged(np.zeros(len(part), np.int64), n), np.repeat(part, n)
-            on = ((bits[own] >> win.astype(np.uint64)) & U64(1)) == 1
-            s = g.first[rows[own[on]]] + win[on]
-            start.append(s)
-            end.append(s + width)
+        per_cls = np.zeros(len(chosen), np.uint64)
+        per_cls[cls[np.searchsorted(rows, row)]] = mask
+        bits = per_cls[cls]
+        part = np.flatnonzero(~later & (bits != 0))
+        n = (g.last - g.first + 1)[rows[part]]
+        win, own = _ragged(np.zeros(len(part), np.int64), n), np.repeat(part, n)
+        on = ((bits[own] >> win.astype(np.uint64)) & U64(1)) == 1
+        s = g.first[rows[own[on]]] + win[on]
+        start.append(s)
+        end.append(s + width)
         gone = _cover(g, np.concatenate(start), np.concatenate(end))
         total = np.r_[0, np.cumsum(gone)]
         removed = total[g.ends] - total[g.starts]
@@ -391,17 +385,6 @@ def suffix_dedup(docs: DataFrame, width: int = 50, group_bytes: int = 8 << 20, w
             out.append((doc, int(b - a), int(removed[i]), int(spans[i]), hashlib.sha256(kept).hexdigest()) + ((kept.tobytes(),) if with_text else ()))
         return _table(out_arrow, out)
 
-    def _find_pairs(have: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Place of each wanted pair in ``have`` (sorted by both), or -1."""
-        both = np.concatenate([have, want])
-        o = np.lexsort((np.arange(len(both)) >= len(have), both["f1"], both["f0"]))
-        b = both[o]
-        new = np.r_[True, b[1:] != b[:-1]]
-        head = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out = np.empty(len(both), np.int64)
-        out[o] = np.where(head < len(have), head, -1)
-        return out[len(have) :]
-
     keys, reply = "bucket int, pid int, data binary", "pid int, data binary"
     replies = dealt.groupBy("pid").applyInArrow(send_keys, keys).groupBy("bucket").applyInArrow(match_keys, reply)
     contexts = dealt.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(send_contexts, keys)

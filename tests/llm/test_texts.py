@@ -88,6 +88,31 @@ def test_deep_shallow_sorts(depth):
     assert keys == sorted(keys) and new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
 
 
+@pytest.mark.parametrize("shallow", [8, 16, 64])
+def test_deep_shallow_sorts_by_each_segments_depth(shallow):
+    r = np.random.default_rng(1)
+    buf = np.concatenate([r.integers(97, 99, 300).astype(np.uint8), np.tile(r.integers(97, 256, 40).astype(np.uint8), 30), np.zeros(140, np.uint8)])
+    at, seg = r.integers(0, 1400, 3000), r.integers(0, 5, 3000)
+    depth = np.array([1, 16, 33, 50, 112])[seg]
+    order, new = suffix.deep_shallow(suffix.words_at(buf), at, seg, depth, shallow)
+    keys = [(seg[i], buf.tobytes()[at[i] : at[i] + depth[i]]) for i in order]
+    assert keys == sorted(keys) and new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
+    cls, first = suffix.equal_spans(suffix.words_at(buf), at, depth, np.zeros(3000, np.int64))
+    texts = [buf.tobytes()[a : a + d] for a, d in zip(at, depth)]
+    assert len({*zip(cls.tolist(), texts, strict=True)}) == len(set(texts)) == len(first) and all(texts.index(texts[i]) == i for i in first)
+
+
+def test_suffix_dedup_of_a_passage_between_varying_neighbours(spark):
+    shared = prose(40, 90)
+    rows = [(i, prose(30, i) + (" " + shared + " " if i % 3 else " ") + prose(30, 200 + i)) for i in range(30)]
+    want = []
+    for d, u, gone in brute_spans(rows, 50, str.encode, bytes):
+        want.append((d, len(u), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), sha(bytes(b for b, g in zip(u, gone, strict=True) if not g))))
+    assert sum(w[2] for w in want) > 1000
+    for group_bytes in (1 << 20, 2000):
+        same(suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=group_bytes), want)
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_substring_dedup(odd, none, batches):
     want = [(d, len(u), sum(gone), sha(" ".join(w for w, g in zip(u, gone, strict=True) if not g))) for d, u, gone in brute_spans(corpus(), 50, WORD.findall, tuple)]
