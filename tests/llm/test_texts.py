@@ -209,6 +209,14 @@ def test_quality_counts_by_hand(spark):
     assert got[2]["n_words"] == 0 and got[2]["base_failed"] and got[3]["n_repeat_words"] == 4
 
 
+def test_quality_rules_that_read_the_text(spark):
+    plain = prose(60, 1)
+    rows = [(1, plain), (2, plain + " https://a.b/c" * 30), (3, plain.replace(" ", "...\n", 30)), (4, plain + " {" + "}" * 20), (5, plain + " https://a.b/c..."), (6, plain.replace(" ", "...\n", 2) + "\nx" * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_rules(docs, {k: quality.RULES[k] for k in ("links", "cut_lines", "braces")}).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (False, True), 6: (False, True)}
+
+
 def test_cascade_orders_by_rejection_per_cost_and_keeps_the_verdict(odd, none, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(quality, "measure", lambda sample, rules: [("a", 0.5, 1.0), ("b", 0.4, 0.1), ("c", 0.0, 0.01)])
