@@ -17,6 +17,11 @@ task holds equal contexts, only that of the least doc_id is sent, so a passage o
 of all documents is an entry a slice.  The least doc_id of each window decides, whatever
 batches its documents came in.
 
+Calls.  Without a name the index lives for one call.  With one it stays, and a later call
+with the same name judges its documents against all earlier ones, too: ``history`` must
+hold their texts for the verification, of which only documents with hits are sent.  Earlier
+documents are not judged again, so an incremental corpus should count its doc_ids upwards.
+
 Nulls: a null text has no words; a row with a null doc_id neither removes nor loses
 anything.  Rows with the same doc_id count as one document.  Texts under ``width`` words
 lose nothing.  An empty table gives an empty result.  Other columns are ignored by
@@ -26,6 +31,7 @@ lose nothing.  An empty table gives an empty result.  Other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -62,17 +68,27 @@ def word_anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class LogIndex:
-    """Runs of ``(fp, doc_id)`` by level, each bucketed and sorted by fp; tables of the session's warehouse."""
+    """Runs of ``(fp, doc_id)`` by level, each bucketed and sorted by fp; tables of the session's warehouse.
+
+    A table's name holds the index's name, buckets and the run's level, so an index is
+    found again by its name; ``n_buckets`` then is that of its runs.  A call that is lost between writing a
+    compacted run and dropping its parts leaves both, which changes no hit.
+    """
 
-    def __init__(self, spark: SparkSession, n_buckets: int, fan_in: int = 3):
+    def __init__(self, spark: SparkSession, n_buckets: int, fan_in: int = 3, name: str | None = None):
+        if name is not None and not re.fullmatch("[a-z][a-z0-9_]*", name):
+            raise ValueError(f"index name {name!r} must be lower-case letters, digits and _")
         self.spark, self.n_buckets, self.fan_in = spark, n_buckets, fan_in
         self.levels: dict[int, list[str]] = defaultdict(list)
-        self.name = f"run_{uuid.uuid4().hex[:12]}"
-        self.made = 0
+        self.keeps = name is not None
+        self.name = f"run_{name or uuid.uuid4().hex[:12]}"
+        for table in spark.catalog.listTables(pattern=f"{self.name}_b*") if self.keeps else ():
+            if found := re.fullmatch(rf"{self.name}_b(\d+)_l(\d+)_[0-9a-f]+", table.name):
+                self.n_buckets = int(found[1])
+                self.levels[int(found[2])].append(table.name)
 
     def _write(self, rows: DataFrame, level: int) -> str:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
+        name = f"{self.name}_b{self.n_buckets}_l{level}_{uuid.uuid4().hex[:12]}"
         rows.repartition(self.n_buckets, "fp").write.bucketBy(self.n_buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
         self.levels[level].append(name)
         return name
@@ -212,11 +228,14 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
     return found.mapInArrow(send, CONTEXTS).groupBy("bucket").applyInArrow(match, VERDICTS)
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False, carry: Sequence[str] = (), index_name: str | None = None, history: DataFrame | None = None
+) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept][, carried columns])`` of each row.
 
     The documents come to the index in ``n_batches`` ranges of doc_id.  ``kept`` is the text
-    without the removed words and the white space after each of them.
+    without the removed words and the white space after each of them.  ``index_name`` and
+    ``history`` (doc_id and text of all documents of earlier calls) make the dedup incremental.
     """
     if not GRAM <= width <= GRAM + 62:
         raise ValueError(f"width must be {GRAM} to {GRAM + 62}")
@@ -224,25 +243,32 @@ def substring_dedup(docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in
     size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", [i / n_batches for i in range(1, n_batches)], 1000).alias("cuts")).first()
     n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // (32 << 20)))
     cuts = [None, *sorted(set(size["cuts"] or [])), None]
-    index, hits = LogIndex(spark, n_buckets, fan_in), []
-    for low, high in zip(cuts, cuts[1:]):
-        batch = docs
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        hits.append(index.append(fingerprints(batch, width)))
-        index.compact()
+    index, hits = LogIndex(spark, n_buckets, fan_in, index_name), []
+    try:
+        for low, high in zip(cuts, cuts[1:]):
+            batch = docs
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            hits.append(index.append(fingerprints(batch, width)))
+            index.compact()
+    finally:
+        if not index.keeps:
+            index.drop()
     found = hits[0]
     for h in hits[1:]:
         found = found.union(h)
-    index.drop()
     # both joins of texts are by doc_id over the same rows, so that one exchange of texts serves both
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", F.struct(*carry).alias("_row") if carry else F.lit(0).alias("_row"))
     known = rows.where("doc_id is not null")
-    verdicts = _verify(known, found, width, n_buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
+    compared = known
+    if history is not None:
+        old = history.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+        compared = known.unionByName(old.withColumn("_row", F.lit(None).cast(known.schema["_row"].dataType)))
+    verdicts = _verify(compared, found, width, n_buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text

@@ -121,6 +121,29 @@ def test_substring_dedup(odd, none, batches):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_substring_dedup_of_two_calls_is_that_of_one(spark):
+    shared = prose(70, 90)
+    rows = [(i, prose(40, i) + (f" {shared} " if i % 3 else " ") + prose(40, 300 + i % 7)) for i in range(40)] + [(40, None), (41, ""), (42, prose(30, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = logindex.LogIndex(spark, 8, name="two_calls")
+    index.drop()
+    try:
+        whole = sorted(map(tuple, logindex.substring_dedup(docs).collect()))
+        parts, done = [], None
+        for low, high in ((0, 20), (20, 30), (30, 43)):
+            part = docs.where(f"doc_id >= {low} and doc_id < {high}")
+            parts += map(tuple, logindex.substring_dedup(part, n_batches=2, fan_in=2, index_name="two_calls", history=done).collect())
+            done = docs.where(f"doc_id < {high}")
+        assert sorted(parts) == whole and sum(r[2] for r in whole) > 1000
+        left = logindex.LogIndex(spark, 3, name="two_calls")
+        assert left.runs() and left.n_buckets == 8
+    finally:
+        logindex.LogIndex(spark, 8, name="two_calls").drop()
+    assert not logindex.LogIndex(spark, 8, name="two_calls").runs()
+    with pytest.raises(ValueError, match="index name"):
+        logindex.LogIndex(spark, 8, name="no-hyphen")
+
+
 def test_removed_passages_leave_the_rest_alone(odd):
     out = logindex.remove_repeated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
