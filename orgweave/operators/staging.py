@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Edges up to which a graph may be gathered on the driver for a numpy loop.
 LOCAL_EDGES = 500_000
+#: Row groups of staged tables: what a writing task holds in its heap.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet and read it back: a table that outlives executors and is computed once for all its readers."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
