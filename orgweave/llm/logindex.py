@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, give_back, mix64, slices, stage, windows_hash
+from .common import WORD, give_back, mix64, slices, small_batches, stage, windows_hash
 from .flat import word_hashes
 
 GRAM = 16
@@ -228,6 +228,7 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
     return found.mapInArrow(send, CONTEXTS).groupBy("bucket").applyInArrow(match, VERDICTS)
 
 
+@small_batches
 def substring_dedup(
     docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False, carry: Sequence[str] = (), index_name: str | None = None, history: DataFrame | None = None
 ) -> DataFrame:
@@ -268,7 +269,7 @@ def substring_dedup(
     if history is not None:
         old = history.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
         compared = known.unionByName(old.withColumn("_row", F.lit(None).cast(known.schema["_row"].dataType)))
-    verdicts = _verify(compared, found, width, n_buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
+    verdicts = stage(_verify(compared, found, width, 4 * n_buckets), "verdicts").groupBy("doc_id").agg(F.collect_list(F.struct("th", "q", "bits")).alias("v"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
