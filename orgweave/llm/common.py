@@ -27,7 +27,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-__all__ = ["WORD", "components", "fresh", "give_back", "join_counted", "mix64", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
+__all__ = ["WORD", "components", "counted_broadcasts", "fresh", "give_back", "join_counted", "mix64", "planned_with", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -67,24 +67,37 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
 
 
-def small_batches(operator):
-    """Run what ``operator(df, ...)`` stages with small Arrow batches: wide rows would else fill them with tens of MB a task."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-    @functools.wraps(operator)
-    def run(df: DataFrame, *args, **kwargs):
-        conf = df.sparkSession.conf
-        before = conf.get(key, None)
-        conf.set(key, str(8 << 20))
-        try:
-            return operator(df, *args, **kwargs)
-        finally:
-            if before is None:
-                conf.unset(key)
-            else:
-                conf.set(key, before)
-
-    return run
+def planned_with(**settings: str):
+    """Run what ``operator(df, ...)`` plans and stages with these SQL settings of the session, and put them back."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in settings.items()}
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **kwargs):
+            conf = df.sparkSession.conf
+            before = {k: conf.get(k, None) for k in names}
+            try:
+                for k, v in names.items():
+                    conf.set(k, v)
+                return operator(df, *args, **kwargs)
+            finally:
+                for k, v in before.items():
+                    if v is None:
+                        conf.unset(k)
+                    else:
+                        conf.set(k, v)
+
+        return run
+
+    return wrap
+
+
+#: Small Arrow batches: wide rows would else fill them with tens of MB a task.
+small_batches = planned_with(execution__arrow__maxBytesPerBatch=str(8 << 20))
+#: Joins are broadcast by a hint behind a count only.  A hashed relation with a key of two columns
+#: takes at least a page (16 MB or more on an executor) however small it is, and an operator of
+#: many joins would hold dozens of them until the driver collects its garbage.
+counted_broadcasts = planned_with(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, max_bytes: int = 4 << 20, max_rows: int = 4096, owner: str | None = None) -> Iterator[pa.RecordBatch]:

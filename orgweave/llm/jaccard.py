@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, give_back, join_counted, mix64, sized, slices, small_batches, stage, windows_hash
+from .common import components, counted_broadcasts, fresh, give_back, join_counted, mix64, sized, slices, small_batches, stage, windows_hash
 from .flat import word_hashes
 
 U64 = np.uint64
@@ -139,6 +139,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, bucket_bytes: int = 8 << 20)
     return _located(docs, n, bucket_bytes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+@counted_broadcasts
 @small_batches
 def _located(docs: DataFrame, n: int = 5, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``(doc_id, th, n, node, check, component_id)`` of each row; th is the hash of its text, node and check are its set's."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, give_back, mix64, slices, small_batches, stage, windows_hash
+from .common import WORD, counted_broadcasts, give_back, mix64, slices, small_batches, stage, windows_hash
 from .flat import word_hashes
 
 GRAM = 16
@@ -228,6 +228,7 @@ def _verify(docs: DataFrame, hits: DataFrame, width: int, n_buckets: int) -> Dat
     return found.mapInArrow(send, CONTEXTS).groupBy("bucket").applyInArrow(match, VERDICTS)
 
 
+@counted_broadcasts
 @small_batches
 def substring_dedup(
     docs: DataFrame, width: int = 50, n_batches: int = 4, fan_in: int = 3, with_text: bool = False, carry: Sequence[str] = (), index_name: str | None = None, history: DataFrame | None = None
