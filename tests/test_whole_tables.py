@@ -62,3 +62,14 @@ def test_eigenvector_is_over_every_customer_and_all_trade(spark, tmp_path):
     edges = [(dict(orders)[o] % 7, s % 7) for o, s in lines]
     got, want = scores(found["eigenvector_centrality_flow"](spark, str(tmp_path))), largest_vector(edges, 7)
     assert got == pytest.approx(want, abs=1e-3) and min(want.values()) >= 0 and len({round(x, 3) for x in got.values()}) > 1
+
+
+@pytest.mark.parametrize(("n", "steps"), [(73, 12), (53, 13), (49, None)])
+def test_shortest_path_is_its_sql_where_the_end_is_far_or_unreachable(spark, tmp_path, n, steps):
+    spark.createDataFrame([(i,) for i in range(n)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["shortest_path"]).fetchall()
+    assert [tuple(r) for r in registry.queries()["shortest_path"](spark, str(tmp_path)).collect()] == want and len(want) == (steps == 12)
+    edges = registry.view(spark, str(tmp_path), "edges_sparse")
+    assert graph.shortest_path(edges, "src", "dst", 3, 0).first()["path_length"] == steps  # the operator has no limit of its own
