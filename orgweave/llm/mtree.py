@@ -12,9 +12,11 @@ the page with the highest possible score first, and skips entries whose stored
 parent distance alone shows, by the triangle inequality, that they can't qualify.
 Pages also keep their least vec_id, so that ties are skipped rightly.
 
-Queries are a stated set (``vec_id`` divisible by ``every``), sent in blocks to every
-tree; a tree is shipped and loaded once a block.  Each (tree, block) answers with at most
-``k`` rows a query, which are merged.
+Queries are a stated set (``vec_id`` divisible by ``every``), which meets every tree in
+blocks: a product of two staged tables, so that blocks times trees are neither broadcast
+nor shuffled; a task reads its part of either.  Each (tree, block) answers with at most ``k``
+rows a query, which are merged.  Trees and blocks are shipped in the narrowest integers
+that hold their numbers.
 
 Scores are exact integers.  Vectors that are null or hold null or non-finite
 components, and rows with a null vec_id, take no part.  Rows with the query's vec_id are
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import counted_broadcasts, small_batches, stage
 
 LEAF, FANOUT = 512, 16
 #: Sums of products below this are exact in a double.
@@ -55,6 +57,12 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
     return m
 
 
+def _narrow(m: np.ndarray) -> np.ndarray:
+    """``m`` in the narrowest signed integers that hold its numbers."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    return m.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _as_exact(*ms: np.ndarray) -> tuple[np.ndarray, ...]:
     """As doubles where all inner products are exact in them, else as Python integers."""
     top = max((int(np.abs(m.astype(object) if m.size and m.min() == np.iinfo(np.int64).min else m).max()) for m in ms if m.size), default=0)
@@ -69,15 +77,26 @@ class MTree:
         o = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[o], vectors[o]
         self.times = np.ones(len(o), np.int64) if times is None else times[o]
-        x = self.vectors.astype(np.float64)
-        norms = np.einsum("ij,ij->i", x, x)
-        self.top = float(norms.max(initial=0.0))
-        self.points = np.c_[x, np.sqrt(np.maximum(self.top - norms, 0.0))]
+        self._place()
         self.pages: list[tuple] = []
         rows = np.arange(len(self.ids))
         self.root_pivot = 0
         self.root = self._build(rows, 0) if len(rows) else -1
 
+    def _place(self) -> None:
+        x = self.vectors.astype(np.float64)
+        norms = np.einsum("ij,ij->i", x, x)
+        self.top = float(norms.max(initial=0.0))
+        self.points = np.c_[x, np.sqrt(np.maximum(self.top - norms, 0.0))]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "points"} | {"vectors": _narrow(self.vectors), "times": _narrow(self.times)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.vectors, self.times = self.vectors.astype(np.int64), self.times.astype(np.int64)
+        self._place()
+
     def _distance(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         d = self.points[rows] - self.points[pivot]
         return np.sqrt(np.einsum("ij,ij->i", d, d))
@@ -162,6 +181,8 @@ class MTree:
         return [(s, row) for s, _, row in sorted(best, reverse=True)]
 
 
+@counted_broadcasts
+@small_batches
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, tree_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest inner products of each query over the quantised vectors."""
     x = lambda c: c.cast("double")
@@ -181,15 +202,15 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
 
     def gather(t: pa.Table) -> pa.Table:
         ids, m, times = columns(t)
-        blocks = [pickle.dumps((ids[i : i + block_rows], m[i : i + block_rows], times[i : i + block_rows])) for i in range(0, len(ids), block_rows)]
+        blocks = [pickle.dumps((ids[i : i + block_rows], _narrow(m[i : i + block_rows]), _narrow(times[i : i + block_rows]))) for i in range(0, len(ids), block_rows)]
         return pa.table({"block": pa.array(blocks, pa.binary())})
 
     trees = stage(rows.withColumn("tree", F.pmod(part, F.lit(n_trees)).cast("int")).groupBy("tree").applyInArrow(plant, "tree int, pages binary"), "trees")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_groups = max(1, -(-n_trees * tree_rows // (every * block_rows)))
     blocks = asked.withColumn("g", F.pmod(part, F.lit(n_groups)).cast("int")).groupBy("g").applyInArrow(gather, "block binary")
-    # every block goes to every tree, one row each: a stated query set against all rows, in blocks
-    sent = stage(blocks, "blocks").select("block", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    # every block meets every tree: a stated query set against all rows, in blocks
+    met = trees.select("pages").hint("shuffle_replicate_nl").crossJoin(stage(blocks, "blocks"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = -(1 << 63), (1 << 63) - 1
@@ -197,6 +218,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
             for i in range(b.num_rows):
                 tree: MTree = pickle.loads(b.column("pages")[i].as_buffer())
                 ids, m, times = pickle.loads(b.column("block")[i].as_buffer())
+                m, times = m.astype(np.int64), times.astype(np.int64)
                 width = tree.vectors.shape[1]
                 m = m[:, :width] if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
                 exact, asked = _as_exact(tree.vectors, m)
@@ -204,10 +226,11 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
                 query, at, score, n = (np.array(c, np.int64) for c in (list(zip(*out, strict=True)) or [()] * 4))
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(tree.ids[at]), pa.array(score), pa.array(np.minimum(n, k) * np.minimum(tree.times[at], k))], ["query_id", "vec_id", "score", "times"])
 
-    found = sent.join(trees, "tree").select("pages", "block").mapInArrow(search, "query_id long, vec_id long, score long, times long")
+    found = met.select("pages", "block").mapInArrow(search, "query_id long, vec_id long, score long, times long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     each = found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))).alias("i"))
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return stage(ranked, "top")
 
 
 SQL = """

@@ -140,6 +140,17 @@ def test_every_row_is_a_candidate(spark, tmp_path):
     assert max(sum(g[0] == q for g in got) for q in (0, 50, 100)) == 5
 
 
+def test_blocks_times_trees_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(mtree, "stage", lambda df, name, keep=mtree.stage: (plan(df), keep(df, name))[1])
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(200)]
+    out = mtree.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tree_rows=20, block_rows=2)
+    plan(out)
+    assert not any("Broadcast" in p for p in plans) and any("CartesianProduct" in p for p in plans)
+    assert sorted(tuple(x) for x in out.collect()) == brute(rows)
+
+
 def test_top_k_of_few_and_of_large_numbers(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (7, [3.0e9])], "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in mtree.exact_top_k(df).collect())
