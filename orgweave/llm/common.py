@@ -27,7 +27,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 U64 = np.uint64
 
-__all__ = ["WORD", "components", "counted_broadcasts", "fresh", "give_back", "join_counted", "mix64", "planned_with", "shared_dir", "sized", "slices", "small_batches", "stage", "unstage", "whole_row", "windows_hash"]
+#: Bits of a row of marks, and the most bits that marks take (8 MB, which is broadcast).
+MARK_ROW, MARKS = 1 << 15, 1 << 26
+
+__all__ = ["WORD", "components", "counted_broadcasts", "fresh", "give_back", "join_counted", "mix64", "planned_with", "shared_dir", "sized", "slices", "small_batches", "split_by_marks", "stage", "unstage", "whole_row", "windows_hash"]
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -51,6 +54,24 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
 
 
+def split_by_marks(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose doc_id may be in ``ids``, and the rest; no row is shuffled.
+
+    The first part has all rows whose doc_id is there and about one in sixteen of the others
+    (more beyond 4 million ids), so a join must follow; the rest has none.  ``ids`` is a staged
+    table with a doc_id of type long; what is broadcast is a bitmap of its hashes, two bytes an id.
+    """
+    ids = ids.select("doc_id").distinct()
+    n_bits = min(MARKS, max(1, -(-16 * ids.count() // MARK_ROW)) * MARK_ROW)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)) + 1  # the bitmap functions count from 1
+    bits = stage(ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits")), "marks")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    both = rows.withColumn("_slot", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "_slot", "left")
+    return both.where(marked).select(*rows.columns), both.where(~marked).select(*rows.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have, made of ``names``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from orgweave.llm import bayes, bpe, jaccard, logindex, packing, quality, shards, suffix
+from orgweave.llm import bayes, bpe, common, jaccard, logindex, packing, quality, shards, suffix
 
 from .conftest import corpus, prose
 
@@ -404,3 +404,32 @@ def test_packing_of_long_documents_passes_little_on(sizes, spark, tokenizers):
     for _, g in got.groupby("sequence_id"):
         o = g.sort_values("offset")
         assert o["offset"].tolist() == [0, *o["length"].cumsum().tolist()[:-1]]
+
+
+def shuffled(spark):
+    """Bytes written by all shuffles so far."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    return sum(x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())))
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    passage = prose(60, 1000, "abcdefghij")
+    rows = [(i, prose(4000, i, "abcdefghij") + (" " + passage if i in (7, 90) else "")) for i in range(100)] + [(None, passage), (90, passage)]
+    docs = common.stage(spark.createDataFrame(rows, "doc_id long, text string"), "texts")
+    before = shuffled(spark)
+    got = {(d, n): gone for d, n, gone, _ in logindex.substring_dedup(docs).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {(d, len(t.split(" "))): 60 if d == 90 else 0 for d, t in rows}
+    anchors = 16 * sum(len(t.split(" ")) for _, t in rows) // 17
+    assert shuffled(spark) - before < 1.5 * anchors + 0.25 * sum(len(t) for _, t in rows)
+
+
+def test_marks_keep_all_that_may_be_there(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    rows = spark.range(-10, 3010).selectExpr("id as doc_id", "id as x").union(spark.sql("select cast(null as bigint), 1L"))
+    some, rest = ([r["doc_id"] for r in part.collect()] for part in common.split_by_marks(rows, ids))
+    assert set(range(0, 3000, 3)) <= set(some) and len(some) < 1400 and None in rest
+    assert sorted(some + [x for x in rest if x is not None]) == list(range(-10, 3010))
+    some, rest = common.split_by_marks(rows, ids.limit(0))
+    assert some.count() == 0 and rest.count() == 3021
